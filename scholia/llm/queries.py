@@ -14,6 +14,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return best_values(table(spark, d, "papers")).select("group_id", "field", "row_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from scholia.llm.neighbours import neighbour_pairs
+
+    pairs = neighbour_pairs(table(spark, d, "chunks"), "chunk_seq", "vector")
+    return pairs.select(F.col("a").alias("chunk_seq_a"), F.col("b").alias("chunk_seq_b"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from scholia.llm.batch_dedup import arxiv_key, repeated_keys, repeated_texts
+
+    texts = repeated_texts(table(spark, d, "chunks"), "chunk_seq", "batch_no", "chunk_text")
+    papers = repeated_keys(table(spark, d, "papers"), "id", "batch_no", arxiv_key(F.col("arxiv_id")))
+    named = lambda rows, src: rows.select(F.lit(src).alias("src"), F.col("key").alias("row_key"))
+    return named(texts, "chunks").unionByName(named(papers, "papers"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from scholia.llm.format_duplicates import canonical_record, repeats_of
 
@@ -42,5 +58,5 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_items(sized, "doc_id", "n_tokens", 1024)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p6_copies, p7_ids, p8_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers)}
 ORACLE_SQL: dict[str, str] = {}
