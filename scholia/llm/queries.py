@@ -58,5 +58,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_items(sized, "doc_id", "n_tokens", 1024)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from scholia.llm.encoding_repair import repair
+
+    return repair(table(spark, d, "documents").select("doc_id", "text")).filter("garbled").select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the text it should have."""
+    from scholia.llm.encoding_repair import repair
+
+    return repair(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "restored", "garbled", "whole")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers, p9_found, p9_restored)}
 ORACLE_SQL: dict[str, str] = {}
