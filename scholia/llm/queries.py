@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from scholia.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from scholia.llm.names import variant_pairs
+
+    papers = table(spark, d, "papers").select(F.explode("normalized_authors").alias("name"))
+    cited = table(spark, d, "citations").select(F.explode("authors_str").alias("name"))
+    return variant_pairs(papers.unionByName(cited))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from scholia.llm.survivors import best_values
 
@@ -71,5 +79,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "restored", "garbled", "whole")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers, p9_found, p9_restored)}
 ORACLE_SQL: dict[str, str] = {}
