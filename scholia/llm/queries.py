@@ -29,6 +29,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_seq_a"), F.col("b").alias("chunk_seq_b"))
 
 
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of papers and works with their confidence."""
+    from scholia.llm.record_match import match_records
+
+    col = F.col
+    found = match_records(
+        table(spark, d, "papers"), table(spark, d, "works"), (col("id"), col("title"), col("normalized_authors"), col("created_date")), (col("id"), col("title"), col("authors"), col("publication_date"))
+    )
+    return found.select(col("a").cast("long").alias("paper_id"), col("b").alias("work_id"), "confidence")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("paper_id", "work_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from scholia.llm.batch_dedup import arxiv_key, repeated_keys, repeated_texts
 
@@ -79,5 +94,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "restored", "garbled", "whole")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_matches, p4_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers, p9_found, p9_restored)}
 ORACLE_SQL: dict[str, str] = {}
