@@ -1 +1 @@
-
+"""Incremental ingest with checkpoints."""
