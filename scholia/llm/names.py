@@ -110,7 +110,7 @@ class Name:
                 for group, given, order in ((words[:size], words[size:], "first"), (words[n - size :], words[: n - size], "last")):
                     names = tuple(w for p, w in given)
                     s = fold(family(group))
-                    if len(s) < 3:
+                    if len(s) < 3 or (size == 2 and min(len(w) for _, w in group) < 3):
                         continue
                     yield s, names, order
                     if size == 1:
