@@ -34,6 +34,8 @@ CONFUSED = (
 ENTER, LEAVE, LOST = 7.0, 2.0, 4.0
 #: The same for a single-byte encoding taken for another: any sign has a reading there, so more evidence is asked.
 ENTER_CONFUSED = 22.0
+#: What one character can say for such a state at most: a few rare signs in a row are no text of another encoding.
+MOST_CONFUSED = 3.0
 #: An escape from clean text to unrestorable text (its replacement characters), and its cost a character.
 DAMAGED = "damaged"
 _BARRIER = -1
@@ -246,6 +248,8 @@ class Decoder:
                     each = np.minimum(self.model.cost(d, np.concatenate([[10], d[:-1]])), np.where(d == _REPLACEMENT, LOST, np.inf))
                     cost[a:b] = each.sum() / (b - a)
                     can_start[a], can_end[b - 1] = True, True
+            if s in CONFUSED:
+                cost = np.maximum(cost, clean - MOST_CONFUSED)
             # Gains anywhere? Cumulated, so that a span's gain counts, not one character's.
             total = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(cost), clean - cost, -1e4))])
             best = float((total - np.minimum.accumulate(total)).max())
