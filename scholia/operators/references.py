@@ -61,12 +61,13 @@ def authors_in_text(texts: DataFrame, key: str, text: str, authors: DataFrame, a
     authors are joined to it, so no pattern is compiled a name.
     """
     words = texts.select(F.col(key), F.concat(F.lit(" "), normalize_name(text), F.lit(" ")).alias("_t"))
+    # Words end where a letter or digit does; hyphens and apostrophes end them too.
+    words = words.withColumn("_p", F.regexp_replace("_t", r"[^0-9a-z]+", " "))
     names = authors.select(F.col(key), F.col(author).alias("author")).distinct().withColumn("_c", F.transform(surname_candidates("author"), lambda c: F.trim(c)))
+    names = names.withColumn("_d", F.transform("_c", lambda c: F.regexp_replace(c, r"[^0-9a-z]+", " ")))
     pairs = names.join(words, key)
-    # Words end where a letter or digit does; hyphens and apostrophes end them too.
-    plain = F.regexp_replace("_t", r"[^0-9a-z]+", " ")
-    said = lambda c, rest: F.contains(plain, F.concat(F.lit(" "), F.regexp_replace(c, r"[^0-9a-z]+", " "), F.lit(rest)))
-    exact = F.when(F.exists("_c", lambda c: said(c, " et al ")), "citation").when(F.exists("_c", lambda c: said(c, " ")), "surname")
+    said = lambda c, rest: F.contains("_p", F.concat(F.lit(" "), c, F.lit(rest)))
+    exact = F.when(F.exists("_d", lambda c: said(c, " et al ")), "citation").when(F.exists("_d", lambda c: said(c, " ")), "surname")
     found = pairs.withColumn("method", exact)
     near = _fuzzy(found.filter("method IS NULL").select(key, "author", "_c", "_t"), key, threshold, window)
     return found.filter("method IS NOT NULL").select(key, "author", "method").unionByName(near)
@@ -93,6 +94,9 @@ def _fuzzy(rows: DataFrame, key: str, threshold: float, window: int) -> DataFram
                     # The ratio is at most 2*min/(sum of lengths): most words need no comparison.
                     if min(len(w), len(c)) < 3 or 2 * min(len(w), len(c)) < threshold * (len(w) + len(c)):
                         continue
+                    # Both ends unlike cost two characters at least, which short words can't afford.
+                    if threshold > 0.9 and c[0] != w[0] and c[-1] != w[-1] and max(len(w), len(c)) < 12:
+                        continue
                     matcher.set_seqs(c, w)
                     if matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
                         hit = True

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.names import author_tokens, tokens_match
+from scholia.session import materialize, spread
 
 #: Candidates a query keeps, and the least trigram similarity.
 CANDIDATES, SIMILARITY = 50, 0.3
 #: 64-bit words of a text's sketch of trigrams.
-SKETCH = 4
+SKETCH = 8
 
 
 def trigrams(text: Column | str) -> Column:
@@ -39,8 +40,14 @@ def trigram_candidates(queries: DataFrame, catalog: DataFrame, threshold: float
     joined, on both sides, and with the sizes that can still reach the threshold; common grams never
     meet, and the result is exact. Distinct texts are compared, not rows.
     """
-    q = queries.filter(F.col("glued") != "").select("glued").distinct().select(F.col("glued").alias("q"), trigrams("glued").alias("qg"))
-    c = catalog.filter(F.col("glued") != "").select("glued").distinct().select(F.col("glued").alias("c"), trigrams("glued").alias("cg"))
+    queries = materialize(spread(queries.select("query_id", "glued")), "queries")  # read several times; made once
+    catalog = materialize(spread(catalog.select("id", "glued", "created_date")), "titles")
+
+    def with_grams(rows: DataFrame, text: str, grams: str) -> DataFrame:
+        made = rows.filter(F.col("glued") != "").select("glued").distinct().select(F.col("glued").alias(text), trigrams("glued").alias(grams))
+        return materialize(spread(made), "grams")
+
+    q, c = with_grams(queries, "q", "qg"), with_grams(catalog, "c", "cg")
     frequency = c.select(F.explode("cg").alias("gram")).groupBy("gram").count()
 
     def prefixed(rows: DataFrame, text: str, grams: str) -> DataFrame:

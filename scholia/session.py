@@ -31,6 +31,12 @@ def build_session(app: str = "scholia", cpus: int | str = "*", **conf: str) -> S
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions (small tables of one file), for costly Python stages."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _SHIPPED: set[str] = set()
 
 
