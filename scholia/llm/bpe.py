@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.session import spread
+
 #: Pretokens of more bytes than this take the heap path: the matrix rounds are quadratic in the length.
 LONG_BYTES = 512
 CACHE_WORDS = 200_000
@@ -276,6 +278,7 @@ def encode_corpus(documents: DataFrame, text: str = "text", ids: str = "ids", pa
     """``documents`` with the column ``ids`` added (a column of that name is replaced).
 
     Nulls and empty texts: empty list. Special-token strings are ordinary text. Other columns pass
-    through; an empty table gives an empty table. No shuffle: one narrow Arrow stage.
+    through; an empty table gives an empty table. No shuffle: one narrow Arrow stage
+    (a table in fewer partitions than there are cores is spread over them first).
     """
-    return documents.withColumn(ids, bpe_ids(F.col(text), path, pattern))
+    return spread(documents).withColumn(ids, bpe_ids(F.col(text), path, pattern))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.session import read_shared, scratch_path
+from scholia.session import read_shared, scratch_path, spread
 
 #: Single-byte encodings that UTF-8 is read with by mistake.
 READ_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "mac-roman", "cp437", "cp850", "koi8-r", "iso8859-2")
@@ -410,6 +410,7 @@ def repair(documents: DataFrame, text: str = "text", rounds: int = 1) -> DataFra
     A null or empty text is not garbled and restores to itself; so does a clean one. Texts are read
     whole, each in time linear in its length. Columns of the added names are replaced.
     """
+    documents = spread(documents)
     path = train(documents, text, rounds)
 
     @F.arrow_udf("struct<restored:string,garbled:boolean,whole:boolean>")
@@ -422,6 +423,7 @@ def repair(documents: DataFrame, text: str = "text", rounds: int = 1) -> DataFra
             restored.append(made), garbled.append(bool(spans)), whole.append(ok)
         return pa.StructArray.from_arrays([pa.array(restored, pa.string()), pa.array(garbled), pa.array(whole)], ["restored", "garbled", "whole"])
 
+    fix = fix.asNondeterministic()  # else a filter on its result would move it below the spreading
     kept = [c for c in documents.columns if c not in ("restored", "garbled", "whole") or c == text]
     fixed = documents.select(*kept).withColumn("_fix", fix(F.col(text)))
     return fixed.select(*kept, "_fix.restored", "_fix.garbled", "_fix.whole")

@@ -33,20 +33,31 @@ def canonical_record(record: Column, title: Column, separator: str = "|", names:
     of names whose order doesn't count. If no field spells the title, the first one is taken for it.
     Null stays null.
     """
-    fields = F.filter(F.transform(F.split(record, f"[{separator}]"), lambda f: F.struct(f.alias("raw"), glued(f).alias("glue"))), lambda f: f["glue"] != "")
-    return F.when(
-        record.isNotNull(),
-        F.array_join(_ordered(fields, glued(title), names), "\x1f"),
-    )
-
-
-def _ordered(fields: Column, title: Column, names: str) -> Column:
-    hits = F.transform(fields, lambda f: f["glue"] == title)
-    at = F.coalesce(F.nullif(F.array_position(hits, F.lit(True)), F.lit(0)), F.lit(1))
-    head = F.transform(F.filter(fields, lambda f, i: i == at - 1), lambda f: f["glue"])
-    rest = F.filter(fields, lambda f, i: i != at - 1)
-    people = F.array_sort(F.filter(F.flatten(F.transform(rest, lambda f: F.transform(F.split(f["raw"], names), glued))), lambda n: n != ""))
-    return F.concat(head, people)
+    # Each item of the outer arrays holds what later steps need, so that nothing is normalised twice.
+    item = lambda f: F.struct(glued(f).alias("glue"), F.transform(F.split(f, names), glued).alias("people"))
+    fields = F.filter(F.transform(F.split(record, f"[{separator}]"), item), lambda f: f["glue"] != "")
+    start = F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("people"), F.lit("").alias("first"), F.array().cast("array<string>").alias("first_people"), F.lit(False).alias("found"))
+
+    def step(state: Column, f: Column) -> Column:
+        # The title's field becomes the head; the first field waits aside, for the case that none is the title's.
+        hit = ~state["found"] & (f["glue"] == state["title"])
+        is_first = state["first"] == ""
+        return F.struct(
+            state["title"].alias("title"),
+            F.when(hit, f["glue"]).otherwise(state["head"]).alias("head"),
+            F.when(hit | is_first, state["people"]).otherwise(F.concat(state["people"], f["people"])).alias("people"),
+            F.when(is_first, f["glue"]).otherwise(state["first"]).alias("first"),
+            F.when(is_first & ~hit, f["people"]).otherwise(state["first_people"]).alias("first_people"),
+            (state["found"] | hit).alias("found"),
+        )
+
+    def finish(state: Column) -> Column:
+        people = F.when(state["found"], F.concat(state["first_people"], state["people"])).otherwise(state["people"])
+        head = F.when(state["found"], state["head"]).otherwise(state["first"])
+        return F.concat_ws("\x1f", head, F.array_join(F.array_sort(F.filter(people, lambda n: n != "")), "\x1f"))
+
+    begin = F.struct(F.coalesce(glued(title), F.lit("")).alias("title"), *(start[c].alias(c) for c in ("head", "people", "first", "first_people", "found")))
+    return F.when(record.isNotNull(), F.aggregate(fields, begin, step, finish))
 
 
 def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.session import table
+from scholia.session import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     from scholia.llm.bpe import bpe_count
     from scholia.llm.packing import pack_items
 
-    sized = table(spark, d, "documents").select("doc_id", bpe_count("text").alias("n_tokens"))
+    sized = spread(table(spark, d, "documents")).select("doc_id", bpe_count("text").alias("n_tokens"))
     return pack_items(sized, "doc_id", "n_tokens", 1024)
 
 
