@@ -509,3 +509,70 @@ def stream_dedup_append(spark: SparkSession, d: str) -> DataFrame:
     run_available(stream, append_unseen(target, "user_id", F.col("event_id")), scratch_path(spark, "offsets"))
     made = spark.read.option("basePath", target).parquet(target)
     return made.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""SELECT id, coalesce(nullif(title, ''), 'Untitled') AS title, citations, substring(regexp_replace(coalesce(nullif(title, ''), 'Untitled'), '[<>:"/\\|?*]', '', 'g'), 1, 100) || '.pdf' AS filename FROM works WHERE pdf_url <> ''"""
+)
+def works_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Works from payloads of the paged source's shape, with a second location that doesn't count."""
+    from scholia.sources.works_api import SOURCE_ID, works
+
+    place = lambda source, url: F.struct(F.struct(F.lit(source).alias("id")).alias("source"), url.alias("pdf_url"))
+    places = F.array(place("https://x.example/S1", F.lit("other")), place(f"https://x.example/{SOURCE_ID}", F.col("pdf_url")))
+    raw = F.struct("id", "title", F.lit("").alias("display_name"), F.col("citations").alias("cited_by_count"), F.struct(F.col("arxiv_id").alias("arxiv")).alias("ids"), places.alias("locations"))
+    return works(table(spark, d, "works").select(F.to_json(raw).alias("payload"))).select("id", "title", "citations", "filename")
+
+
+def _xml(text):
+    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+@query(
+    r"""WITH c AS (SELECT chunk_paper_id, chunk_seq, trim(regexp_replace(coalesce(section_title, ''), '\s+', ' ', 'g')) AS t, trim(regexp_replace(chunk_text, '[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+', ' ', 'g')) AS x FROM chunks)
+    SELECT chunk_paper_id, row_number() OVER (PARTITION BY chunk_paper_id ORDER BY chunk_seq) - 1 AS pos, t AS section_title, sha256(x) AS checksum FROM c"""
+)
+def tei_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of a paper's TEI, which is made of its chunks."""
+    from scholia.sources.tei import section_table
+
+    c = F.col
+    div = F.concat(F.lit("<div><head>"), _xml(c("section_title")), F.lit("</head><p>"), _xml(c("chunk_text")), F.lit("</p></div>"))
+    papers = table(spark, d, "chunks").groupBy("chunk_paper_id").agg(F.array_sort(F.collect_list(F.struct("chunk_seq", div.alias("x")))).alias("l"))
+    tei = papers.select("chunk_paper_id", F.concat(F.lit("<TEI><text><body>"), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</body></text></TEI>")).alias("tei"))
+    return section_table(tei, "chunk_paper_id").select("chunk_paper_id", c("pos").cast("long").alias("pos"), "section_title", X.checksum("section_text").alias("checksum"))
+
+
+@query()
+def tei_references(spark: SparkSession, d: str) -> DataFrame:
+    """C20: references of a chunk's TEI, which is made of its citations."""
+    from scholia.sources.tei import reference_table
+
+    people = F.array_join(F.transform(F.coalesce("authors_str", F.array().cast("array<string>")), lambda a: F.concat(F.lit("<author><persName><surname>"), _xml(a), F.lit("</surname></persName></author>"))), "")
+    item = F.concat(F.lit("<biblStruct><analytic><title>"), _xml(F.col("title")), F.lit("</title>"), people, F.lit("</analytic></biblStruct>"))
+    lists = table(spark, d, "citations").groupBy("chunk_seq").agg(F.array_sort(F.collect_list(F.struct("citation_id", item.alias("x")))).alias("l"))
+    tei = lists.select("chunk_seq", F.concat(F.lit("<TEI><listBibl>"), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</listBibl></TEI>")).alias("tei"))
+    return reference_table(tei, "chunk_seq").select("chunk_seq", "id", "title", "error")
+
+
+@query()
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """V7: ranks by words and by vectors of titles, fused; queries are the works whose number is divisible by 100."""
+    asked = table(spark, d, "works").filter(F.col("title").isNotNull() & (F.substring("id", 2, 20).cast("long") % 100 == 0)).select(F.substring("id", 2, 20).cast("long").alias("query_id"), F.col("title").alias("text"))
+    papers = table(spark, d, "papers").select("id", "title").filter("title IS NOT NULL")
+    words = vectors.bm25(papers, "id", "title", asked)
+    stored = vectors.embed(papers.withColumnRenamed("id", "vec_id"), F.col("title")).select("vec_id", "vector")
+    near = vectors.cosine_topk(vectors.embed(asked, F.col("text")).select("query_id", "vector"), stored, 10)
+    return vectors.fuse_ranks(words, near.select("query_id", F.col("vec_id").alias("id"), "rank"), "id")
+
+
+@query()
+def paper_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Nested documents of papers with their chunks and references; flattened to counts."""
+    from scholia.plans import pipelines
+
+    latest = cat.first_per_key(table(spark, d, "papers").select(F.col("arxiv_id").alias("paper_id"), "title", "id", F.get_json_object("metadata", "$.updated").alias("updated")).filter("paper_id IS NOT NULL"), "paper_id", [F.desc("id")])
+    chunks = table(spark, d, "chunks").select(F.col("chunk_paper_id").alias("paper_id"), "chunk_seq", "chunk_num", "chunk_text", "checksum")
+    refs = table(spark, d, "citations").join(chunks.select("chunk_seq", "paper_id"), "chunk_seq").select("paper_id", "arxiv_id", "title")
+    made = pipelines.paper_documents(latest.drop("id"), chunks.drop("chunk_seq"), refs)
+    return made.select("paper_id", "updated", F.coalesce(F.size("chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.size("references"), F.lit(0)).alias("n_references"))

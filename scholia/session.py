@@ -46,7 +46,11 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="scholia-")) / "scholia.zip"
+    shared = shared_folder(spark)
+    parent = local_path(shared) if shared.startswith(("file:", "/")) else None  # else the driver's own folder; Spark serves it
+    if parent:
+        os.makedirs(parent, exist_ok=True)
+    archive = Path(tempfile.mkdtemp(prefix="scholia-", dir=parent)) / "scholia.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))

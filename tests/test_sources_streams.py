@@ -132,3 +132,29 @@ def test_quarantine_and_resume(spark, tmp_path):
     rows = spark.createDataFrame([("b", "2020-01-02"), ("c", "2020-01-02"), ("old", "2019-01-01"), ("d", "2020-02-01"), ("d", "2020-02-01")], "k string, day string")
     assert sorted(r["k"] for r in ingest.resume_from(rows, done, "day", "k").collect()) == ["c", "d"]
     assert ingest.resume_from(rows, done.limit(0), "day", "k").count() == 4
+
+
+def test_download_skips_and_reports(spark):
+    from scholia.sources.download import download
+
+    def fetch(url):
+        if url == "u3":
+            raise OSError("net")
+        return (200, "application/pdf", b"x") if url == "u1" else (404, "text/html", b"")
+
+    wanted = spark.createDataFrame([("a", "u1"), ("a", "u1"), ("b", "u2"), ("c", "u3"), ("d", "u4")], "key string, url string")
+    stored = spark.createDataFrame([("d",)], "key string")
+    got = {r["key"]: (r["content"], r["error"]) for r in download(wanted, stored, fetch, 0).collect()}
+    assert got == {"a": (bytearray(b"x"), None), "b": (None, "status 404, text/html"), "c": (None, "OSError: net")}
+
+
+def test_tool_loop(spark):
+    from scholia.plans import agent
+
+    replies = iter([{"tool": "find", "argument": "x"}, {"tool": "missing"}, {"text": "done"}])
+    seen = []
+    assert agent.run_loop(lambda m: seen.append(m[-1]["text"]) or next(replies), {"find": lambda a: f"found {a}"}, "q?") == "done"
+    assert seen == ["q?", "found x", "Error: there is no tool missing."]
+    assert agent.run_loop(lambda m: {"tool": "find"}, {}, "q", steps=2).startswith("Error") and agent.run_loop(None, {}, " ") == agent.NO_ANSWER
+    agent.register_functions(spark)
+    assert spark.sql("SELECT scholia_ascii('Zoë') AS a").first()["a"] == "Zoe"
