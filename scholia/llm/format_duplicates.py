@@ -17,8 +17,9 @@ from scholia.session import read_shared, scratch_path
 BITS_PER_ROW = 16
 PROBES = 3
 SEGMENT_BITS = 1 << 20
-#: The largest filter a worker loads. Beyond it the 8-byte hashes are counted by a shuffle instead.
-MAX_FILTER_BYTES = 256 << 20
+#: The largest filter a worker holds (a pair of them while one is built). Beyond it, that is beyond some
+#: 67 million records, the 8-byte hashes are counted by a shuffle instead.
+MAX_FILTER_BYTES = 128 << 20
 
 
 def glued(text: Column) -> Column:
@@ -72,6 +73,15 @@ def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return segment.astype(np.int64), at.astype(np.int64)
 
 
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    at = at.ravel()
+    np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _test(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
 def _build(bits: int):
     """Per partition: the once-seen and the repeatedly-seen filter of each segment, compressed."""
     import zlib
@@ -87,14 +97,13 @@ def _build(bits: int):
             segment, at = _positions(values, bits)
             for s in np.unique(segment):
                 mine = segment == s
-                seen = once.setdefault(int(s), np.zeros(width, bool))
-                again = twice.setdefault(int(s), np.zeros(width, bool))
-                rows = at[mine]
-                repeated = (counts[mine] > 1) | seen[rows].all(axis=1)
-                again[rows[repeated].ravel()] = True
-                seen[rows.ravel()] = True
+                if int(s) not in once:
+                    once[int(s)], twice[int(s)] = np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)
+                seen, again, rows = once[int(s)], twice[int(s)], at[mine]
+                _set(again, rows[(counts[mine] > 1) | _test(seen, rows)])
+                _set(seen, rows)
         for s, seen in once.items():
-            pack = [zlib.compress(np.packbits(x).tobytes(), 1) for x in (seen, twice[s])]
+            pack = [zlib.compress(x.tobytes(), 1) for x in (seen, twice[s])]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([pack[0]], pa.binary()), pa.array([pack[1]], pa.binary())], ["segment", "once", "twice"])
 
     return build
@@ -125,14 +134,14 @@ def _may_repeat(path: str, bits: int):
     def may_repeat(column: pa.Array) -> pa.Array:
         if not state:
             tab = read_shared(path)
-            state["bits"] = {s: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for s, b in zip(tab["segment"].to_pylist(), tab["bits"].to_pylist(), strict=True)}
+            state["bits"] = {s: np.frombuffer(b, np.uint8) for s, b in zip(tab["segment"].to_pylist(), tab["bits"].to_pylist(), strict=True)}
         hashes = column.to_numpy(zero_copy_only=False).astype(np.int64)
         segment, at = _positions(hashes, bits)
         out = np.zeros(len(hashes), bool)
         for s in np.unique(segment):
             if (own := state["bits"].get(int(s))) is not None:
                 mine = segment == s
-                out[mine] = own[at[mine]].all(axis=1)
+                out[mine] = _test(own, at[mine])
         return pa.array(out)
 
     return may_repeat
