@@ -20,8 +20,9 @@ from scholia.session import materialize
 #: Members a list has on average, and members (or queries) a block of a list has at most.
 LIST_SIZE = 128
 MAX_BLOCK = 2048
-#: Vectors the centroids are fitted on, at most; every vector is indexed whatever the sample.
-MAX_SAMPLE = 40_000
+#: Vectors the centroids are fitted on, at most, and so many of them a centroid at least (beyond some 800,000
+#: vectors the lists grow instead); every vector is indexed whatever the sample.
+MAX_SAMPLE, SAMPLE_PER_LIST = 100_000, 16
 #: A list is read (stored in) if its distance is at most this ratio of the nearest list's, up to so many lists.
 READ_RATIO, MAX_READ = 1.15, 3
 STORE_RATIO, MAX_STORE = 1.05, 2
@@ -30,11 +31,12 @@ STORE_RATIO, MAX_STORE = 1.05, 2
 class CentroidGraph:
     """Centroids with links to their nearest ones, entered through hubs; a search is a beam over the links."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 24, hub_links: int = 48, seed: int = 7) -> None:
+    def __init__(self, centroids: np.ndarray, degree: int = 24, seed: int = 7) -> None:
         n = len(centroids)
         self.centroids = centroids
-        self.degree, hub_links = min(degree, n), min(hub_links, n)
         hubs = max(1, int(round(np.sqrt(n))))
+        # Every hub links to about four times its share, so that hubs overlap and no list is out of reach.
+        self.degree, hub_links = min(degree, n), min(max(48, 4 * hubs), n)
         self.hubs = _fit(centroids, hubs, 4, seed)
         self.entry = np.argsort(-(self.hubs @ centroids.T), axis=1)[:, :hub_links].astype(np.int32)
         self.links = np.empty((n, self.degree), np.int32)
@@ -42,7 +44,7 @@ class CentroidGraph:
             near = centroids[a : a + 2048] @ centroids.T
             self.links[a : a + 2048] = np.argpartition(-near, self.degree - 1, axis=1)[:, : self.degree]
 
-    def search(self, x: np.ndarray, k: int, beam: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, k: int, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """(lists, similarities) of the k nearest centroids of each row of x, best first."""
         k = min(k, len(self.centroids))
         lists, sims = np.empty((len(x), k), np.int32), np.empty((len(x), k), np.float32)
@@ -176,7 +178,7 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: i
         return spark.createDataFrame([], "id long, neighbour long, similarity float")
     copies = materialize(member.join(groups.filter("n > 1"), ["h1", "h2"]).select("id", "rep", "n"), "copies") if repeated else None
     reps = unit if copies is None else unit.join(copies.filter("id <> rep").select("id"), "id", "left_anti")
-    lists = max(1, round(total / list_size))
+    lists = max(1, min(round(total / list_size), MAX_SAMPLE // SAMPLE_PER_LIST))
     sample = reps.select("id", "vector")
     if total > MAX_SAMPLE:
         sample = sample.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * MAX_SAMPLE / total))
