@@ -97,7 +97,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a `materialize` that no plan reads any more."""
+    _delete(df.sparkSession, df._scratch)
 
 
 def local_path(uri: str) -> str:
