@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.citations import find_year, is_full_entry, markers, numbered_references, reference_tail, short_surnames
@@ -19,16 +19,24 @@ def expand_markers(texts: DataFrame, key: str, text: str) -> DataFrame:
     return each.select(key, "marker_pos", F.col("m.marker").alias("marker"), F.posexplode("m.numbers").alias("num_pos", "number"))
 
 
-def match_markers(texts: DataFrame, key: str, text: str, references: DataFrame) -> DataFrame:
+def numbered_text(number: str, reference: str) -> Column:
+    """The citation string of an entry of a numbered list, or the words that say it's missing."""
+    return F.concat(F.lit("["), F.col(number).cast("string"), F.lit("] "), F.coalesce(reference, F.lit("Reference not found")))
+
+
+def match_markers(texts: DataFrame, key: str, text: str, references: DataFrame, owner: str | None = None) -> DataFrame:
     """Every number of a text's markers with its reference, or the words that say it's missing.
 
-    ``references``: (key, number, reference). Only the first occurrence of a marker in a text counts.
+    ``references``: (owner, number, reference), where ``owner`` is the text's column that says whose list
+    it is, the key by default. Only the first occurrence of a marker in a text counts.
     """
     first = expand_markers(texts, key, text)
     firsts = first.groupBy(key, "marker").agg(F.min("marker_pos").alias("marker_pos"))
     once = first.join(firsts, [key, "marker", "marker_pos"], "left_semi")
-    shown = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.coalesce("reference", F.lit("Reference not found")))
-    return once.join(references, [key, "number"], "left").select(key, "marker", "num_pos", "number", shown.alias("reference"))
+    if owner:
+        once = once.join(texts.select(key, owner), key)
+    kept = [key, *([owner] if owner else []), "marker", "marker_pos", "num_pos", "number"]
+    return once.join(references, [owner or key, "number"], "left").select(*kept, numbered_text("number", "reference").alias("reference"))
 
 
 def references_of(documents: DataFrame, key: str, text: str) -> DataFrame:

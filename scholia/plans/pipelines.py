@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import glue, normalize_list, normalize_text, references_in_text
+from scholia.functions.text import checksum, chunk_id, glue, normalize_list, normalize_text, references_in_text, token_count
 from scholia.operators import catalog as cat
 from scholia.operators import chunking, graph, references, resolve, style, vectors
+from scholia.session import materialize
 
 NO_ANSWER = "<NO_ANSWER_POSSIBLE>"
 
@@ -28,25 +29,51 @@ def prepare_queries(refs: DataFrame, key: str, title: str, authors: str, citatio
     return refs.select(F.col(key).alias("query_id"), original.alias("original_citation"), glue(normalize_text(title)).alias("glued"), normalize_list(authors).alias("authors"))
 
 
-def enrich_papers(sections: DataFrame, named_refs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every section of every paper as a chunk with the citations resolved to the catalog (author flow).
+def enrich_papers(sections: DataFrame, refs: DataFrame, catalog: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Every section of every paper as a chunk with the citations resolved to the catalog.
 
-    ``sections``: (paper_id, pos, section_title, section_text); ``named_refs``: (paper_id, query_id,
-    title, authors); ``catalog``: (id, arxiv_id, title, glued, authors, created_date, citation_count).
+    ``sections``: (paper_id, pos, section_title, section_text); ``refs``: (paper_id, query_id, title,
+    authors) and, where known, number (its place in the paper's list, which markers name) and raw (its
+    text); ``catalog``: (id, arxiv_id, title, glued, authors, created_date, citation_count);
+    ``entries``: (paper_id, entry), the bibliography that helps to decide the style.
+    Papers with numbered citations go by their markers, the others by first authors named in the text.
     One plan over all papers: references resolved once a distinct query, then joined to sections.
     """
-    queries = prepare_queries(named_refs, "query_id", "title", "authors")
-    found = resolve.resolve(queries, catalog)
-    cited = named_refs.select("paper_id", "query_id").join(found, "query_id").join(catalog, "id")
-    first = cited.withColumn("first_author", F.try_element_at("authors", F.lit(1))).filter("first_author IS NOT NULL")
-    names = first.select("paper_id", F.col("first_author").alias("author")).distinct()
-    texts = sections.withColumn("_key", F.struct("paper_id", "pos"))
-    asked = texts.select("_key", "paper_id").join(names, "paper_id").select("_key", "author")
-    said = references.authors_in_text(texts, "_key", "section_text", asked, "author").select("_key.paper_id", F.col("_key.pos").alias("section"), "author")
-    links = references.cite_by_first_author(said, first.select("paper_id", "id", "first_author"), "paper_id")
-    items = links.join(catalog.select("id", "arxiv_id", "title", "citation_count"), "id").withColumn("_key", F.struct("paper_id", F.col("section").alias("pos")))
-    numbered = chunking.regroup_citations(texts, items, "_key", "id", F.struct("arxiv_id", "title", "citation_count"))
-    return numbered.drop("_key").withColumn("chunk_text", F.col("section_text"))
+    styles = materialize(decide_styles(sections, entries).select("paper_id", F.col("numbered").alias("uses_markers")), "styles")
+    number = F.col("number").cast("int") if "number" in refs.columns else F.lit(None).cast("int")
+    raw = F.coalesce("raw", F.lit("")) if "raw" in refs.columns else F.lit("")
+    listed = refs.select("paper_id", "query_id", "title", "authors", number.alias("number"), raw.alias("raw")).join(styles, "paper_id")
+    texts = sections.join(styles, "paper_id").withColumn("_key", F.struct("paper_id", "pos"))
+    marked_texts, named_texts = texts.filter("uses_markers"), texts.filter("NOT uses_markers")
+    numbered, named = listed.filter("uses_markers AND number IS NOT NULL"), listed.filter("NOT uses_markers")
+
+    held = numbered.groupBy("paper_id", "number").agg(F.min_by("raw", "query_id").alias("reference"))
+    marked = materialize(references.match_markers(marked_texts, "_key", "section_text", held, "paper_id"), "markers")
+    cited = numbered.join(marked.select("paper_id", "number"), ["paper_id", "number"], "left_semi")
+    kept = references.without_repeats(named.select("paper_id", "raw", "number", "query_id"), "paper_id", "raw", "number").select("paper_id", "raw").distinct()
+    searched = materialize(cited.unionByName(named.join(kept, ["paper_id", "raw"], "left_semi").select(*cited.columns)), "searched")
+    found = resolve.resolve(prepare_queries(searched, "query_id", "title", "authors", raw="raw"), catalog)
+    resolved = materialize(searched.select("paper_id", "query_id", "number", "raw", "uses_markers").join(found.select("query_id", "id"), "query_id"), "resolved")
+    item = F.struct("arxiv_id", "title", "citation_count")
+    shown = catalog.select("id", "arxiv_id", "title", "citation_count")
+    section = F.struct("paper_id", F.col("section").alias("pos"))
+
+    by_text = resolved.filter("uses_markers").groupBy("paper_id", references.numbered_text("number", "raw").alias("reference")).agg(F.min_by("id", "query_id").alias("id"))
+    said = marked.select("paper_id", F.col("_key.pos").alias("section"), F.struct("marker_pos", "num_pos").alias("place"), "reference")
+    links = references.cite_by_marker(said, by_text, "paper_id").join(shown, "id").withColumn("_key", section)
+    by_marker = chunking.regroup_citations(marked_texts, links, "_key", "place", item)
+
+    asked = named.select("paper_id", F.try_element_at("authors", F.lit(1)).alias("author")).filter("author IS NOT NULL").distinct()
+    asked = named_texts.select("_key", "paper_id").join(asked, "paper_id").select("_key", "author")
+    said = references.authors_in_text(named_texts, "_key", "section_text", asked, "author").select("_key.paper_id", F.col("_key.pos").alias("section"), normalize_text("author").alias("author"))
+    first = resolved.filter("NOT uses_markers").join(catalog.select("id", F.try_element_at("authors", F.lit(1)).alias("first_author")), "id").filter("first_author IS NOT NULL")
+    links = references.cite_by_first_author(said, first.select("paper_id", "id", normalize_text("first_author").alias("first_author")), "paper_id")
+    by_author = chunking.regroup_citations(named_texts, links.join(shown, "id").withColumn("_key", section), "_key", "id", item)
+
+    both = by_marker.unionByName(by_author).drop("_key").withColumn("chunk_text", F.col("section_text"))
+    order = F.row_number().over(Window.partitionBy("paper_id").orderBy("pos"))
+    chunks = both.withColumns({"chunk_num": order, "token_len": token_count("chunk_text"), "checksum": checksum("chunk_text")})
+    return chunks.withColumn("chunk_id", chunk_id(F.concat_ws("|", "paper_id", "checksum"), "chunk_num"))
 
 
 def paper_documents(papers: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:

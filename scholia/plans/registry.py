@@ -576,3 +576,34 @@ def paper_documents(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "citations").join(chunks.select("chunk_seq", "paper_id"), "chunk_seq").select("paper_id", "arxiv_id", "title")
     made = pipelines.paper_documents(latest.drop("id"), chunks.drop("chunk_seq"), refs)
     return made.select("paper_id", "updated", F.coalesce(F.size("chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.size("references"), F.lit(0)).alias("n_references"))
+
+
+@query()
+def enrich_papers(spark: SparkSession, d: str) -> DataFrame:
+    """TEI -> sections, references and bibliography -> style -> markers or authors -> chunks with citations.
+
+    A paper's TEI is made of its chunks and of their citations, numbered in order.
+    """
+    from scholia.plans import pipelines
+    from scholia.session import materialize
+    from scholia.sources.tei import bibliography_table, reference_table, section_table
+
+    c = F.col
+    div = F.concat(F.lit("<div><head>"), _xml(c("section_title")), F.lit("</head><p>"), _xml(c("chunk_text")), F.lit("</p></div>"))
+    person = lambda a: F.concat(F.lit("<author><persName><surname>"), _xml(a), F.lit("</surname></persName></author>"))
+    people = F.array_join(F.transform(F.coalesce("authors_str", F.array().cast("array<string>")), person), "")
+    entry = F.concat(F.lit("<biblStruct><analytic><title>"), _xml(c("title")), F.lit("</title>"), people, F.lit("</analytic></biblStruct>"))
+    chunks, cites = table(spark, d, "chunks").filter("chunk_paper_id IS NOT NULL"), table(spark, d, "citations")
+    one = lambda rows, order, x: rows.groupBy("chunk_paper_id").agg(F.array_sort(F.collect_list(F.struct(order, x.alias("x")))).alias("l"))
+    joined = lambda rows, name: rows.select("chunk_paper_id", F.array_join(F.transform("l", lambda i: i["x"]), "").alias(name))
+    bodies = joined(one(chunks, "chunk_seq", div), "body")
+    lists = joined(one(cites.join(chunks.select("chunk_seq", "chunk_paper_id"), "chunk_seq"), "citation_id", entry), "list")
+    text = F.concat(F.lit("<TEI><text><body>"), c("body"), F.lit("</body><back><listBibl>"), F.coalesce("list", F.lit("")), F.lit("</listBibl></back></text></TEI>"))
+    tei = materialize(bodies.join(lists, "chunk_paper_id", "left").select(c("chunk_paper_id").alias("paper_id"), text.alias("tei")), "tei")
+    sections = materialize(section_table(tei, "paper_id"), "sections")
+    found = reference_table(tei, "paper_id").filter("error IS NULL")
+    refs = found.select("paper_id", F.concat_ws("#", "paper_id", F.lpad(c("id").cast("string"), 6, "0")).alias("query_id"), "title", c("authors_teiled").alias("authors"), c("id").alias("number"), "raw")
+    catalog = table(spark, d, "papers").select("id", "arxiv_id", "title", X.glue(X.normalize_text("title")).alias("glued"), c("normalized_authors").alias("authors"), "created_date", "citation_count")
+    made = pipelines.enrich_papers(sections, materialize(refs, "refs"), materialize(catalog, "catalog"), bibliography_table(tei, "paper_id"))
+    cited = F.transform(F.coalesce("citations", F.array().cast("array<struct<arxiv_id:string,title:string,citation_count:int>>")), lambda x: x["arxiv_id"])
+    return made.select("paper_id", "chunk_num", "section_title", "token_len", "checksum", "uses_markers", "is_citation_context", cited.alias("cited"))

@@ -236,3 +236,25 @@ def test_build_catalog_and_enrichment(spark):
     refs = spark.createDataFrame([("p", "r1", "Deep learning", ["Minh Luong"])], "paper_id string, query_id string, title string, authors array<string>")
     got = {r["pos"]: (r["is_citation_context"], len(r["citations"] or [])) for r in pipelines.enrich_papers(sections, refs, catalog).collect()}
     assert got == {1: (True, 1), 2: (False, 0)}
+
+
+def test_enrichment_by_markers_and_by_authors(spark):
+    catalog = spark.createDataFrame(
+        [(1, "x1", "Deep Learning", "deeplearning", ["luong minh"], "2001-01-01", 5), (2, "x2", "Graph Theory", "graphtheory", ["cho kyunghyun"], "2002-01-01", 6), (3, "x3", "Short", "short", ["jean sebastien"], "2003-01-01", 7)],
+        "id long, arxiv_id string, title string, glued string, authors array<string>, created_date string, citation_count int",
+    )
+    sections = spark.createDataFrame(
+        [("m", 0, "Introduction", "We saw [2] and [1, 2] [3] [4]."), ("m", 1, "End", "Nobody of the list; [1-2] [9]"), ("m", 2, "Rest", "Luong said so."),
+         ("a", 0, "Introduction", "After Luong Minh and Jean (2003)."), ("a", 1, "End", "As [1] says, in one place.")],
+        "paper_id string, pos int, section_title string, section_text string",
+    )
+    refs = spark.createDataFrame(
+        [("m", "m1", "Deep learning", ["Minh Luong"], 1, "M. Luong. Deep learning."), ("m", "m2", "Graph theory", ["Cho Kyunghyun"], 2, "K. Cho. Graph theory."), ("m", "m3", "Unknown words", ["Nobody"], 3, "Unknown"),
+         ("a", "a1", "Deep learning", ["Minh Luong"], 1, "Minh Luong. 2001. Deep learning. In Proceedings"), ("a", "a2", "Short", ["Jean Sebastien"], 2, "Jean et al. 2003"),
+         ("a", "a3", "Other", ["S. Jean"], 3, "S. Jean. 2003. Another one that explains it. In Proceedings")],
+        "paper_id string, query_id string, title string, authors array<string>, number int, raw string",
+    )
+    got = {(r["paper_id"], r["pos"]): r for r in pipelines.enrich_papers(sections, refs, catalog).collect()}
+    cited = {k: [c["arxiv_id"] for c in r["citations"] or []] for k, r in got.items()}
+    assert cited == {("m", 0): ["x2", "x1"], ("m", 1): ["x1", "x2"], ("m", 2): [], ("a", 0): ["x1"], ("a", 1): []}
+    assert {k: (r["uses_markers"], r["is_citation_context"], r["chunk_num"]) for k, r in got.items()} == {k: (k[0] == "m", bool(cited[k]), k[1] + 1) for k in got}
