@@ -266,6 +266,12 @@ def author_year_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", C.occurrences(text, C.AUTHOR_YEAR).cast("long").alias("author_year"))
 
 
+@query(rf"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{C.AUTHOR_YEAR}')) AS author_year FROM documents")
+def author_year_counts_in_text(spark: SparkSession, d: str) -> DataFrame:
+    """C2 over every document's whole text as it stands; `author_year_counts` takes a composed line instead."""
+    return table(spark, d, "documents").select("doc_id", C.occurrences("text", C.AUTHOR_YEAR).cast("long").alias("author_year"))
+
+
 @query()
 def citation_style_decision(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").select("chunk_paper_id", "chunk_seq", "section_title", "chunk_text")
