@@ -48,6 +48,12 @@ def reference_norm_checksum(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", X.normalize_reference("text").alias("norm"), X.checksum("text").alias("checksum"))
 
 
+@query()
+def reference_norm_checksum_all(spark: SparkSession, d: str) -> DataFrame:
+    """N6/N7 over every document, whatever its letters; SQL engines differ in lower case beyond ASCII."""
+    return table(spark, d, "documents").select("doc_id", X.normalize_reference("text").alias("norm"), X.checksum("text").alias("checksum"))
+
+
 @query(
     r"""SELECT id, nullif(regexp_extract(arxiv_id, '([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)', 1), '') AS clean,
     regexp_replace(regexp_replace(trim(arxiv_id), '^[aA][rR][xX][iI][vV]:\s*', ''), 'v[0-9]+$', '') AS base,

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from scholia.functions import citations as C
@@ -19,3 +20,11 @@ def test_author_year_counts_read_the_text(spark, tmp_path):
     got = {r["doc_id"]: r["author_year"] for r in registry.QUERIES["author_year_counts_in_text"](spark, d).collect()}
     want = {i: len(re.findall(C.AUTHOR_YEAR, t or "", re.ASCII)) for i, t in enumerate(texts)}
     assert got == want and want[0] == 3 and want[5] == 1
+
+
+def test_norms_and_checksums_of_every_document(spark, tmp_path):
+    texts = ["Plain (text), 2001.", "Élan «Vital»; ÀÉÎ\u00a0Öß [3]", "ΣΊΣΥΦΟΣ: ΟΔΟΣ.", "İstanbul IĞDIR", "", "  \n ", None, "数学、Ｆｕｌｌ “x”", "$\\Omega_{1}$ ≤ Ω\u2003µ ﬁn"]
+    d = tables(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: (r["norm"], r["checksum"]) for r in registry.QUERIES["reference_norm_checksum_all"](spark, d).collect()}
+    norm = lambda t: re.sub(r"\s+", " ", re.sub(r"""[\[\]().,;:"<>]""", " ", t)).strip().lower()
+    assert got == {i: (None, None) if t is None else (norm(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
