@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.operators import vectors as V
+
 
 def nodes(rows: DataFrame, key: Column, properties: dict[str, Column], order: Column) -> DataFrame:
     """One node a key, with the properties of the last row by ``order``. Null keys make no node."""
@@ -39,6 +41,18 @@ def scholarly_graph(papers: DataFrame, citations: DataFrame) -> tuple[DataFrame,
     return paper.unionByName(author).unionByName(category), wrote.unionByName(within).unionByName(cites)
 
 
+def similar_edges(rows: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.0) -> DataFrame:
+    """(src, dst, type, similarity): SIMILAR_TO from each row to its ``k`` nearest others of at least ``least`` cosine.
+
+    The search is exact, so its work grows with the square of the rows.
+    """
+    stored = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("vector"))
+    found = V.cosine_topk(stored.withColumnRenamed("vec_id", "query_id"), stored, k + 1).filter("query_id <> vec_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    kept = found.withColumn("_rn", rank).filter((F.col("_rn") <= k) & (F.col("similarity") >= least))
+    return kept.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.lit("SIMILAR_TO").alias("type"), "similarity")
+
+
 def concept_clusters(vectors: DataFrame, key: str, vector: str, k: int, seed: int = 7) -> DataFrame:
     """(key, concept) by k-means over the vectors (Spark ML, distributed)."""
     from pyspark.ml.clustering import KMeans

@@ -489,6 +489,14 @@ def chunk_edges(spark: SparkSession, d: str) -> DataFrame:
     return has.unionByName(cites)
 
 
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+    SELECT src, dst, 'SIMILAR_TO' AS type, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS r FROM p) WHERE r <= 5 AND s >= 0"""
+)
+def similar_to_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.similar_edges(table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def concept_clusters(spark: SparkSession, d: str) -> DataFrame:
     return graph.concept_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 10)

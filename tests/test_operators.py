@@ -258,3 +258,29 @@ def test_enrichment_by_markers_and_by_authors(spark):
     cited = {k: [c["arxiv_id"] for c in r["citations"] or []] for k, r in got.items()}
     assert cited == {("m", 0): ["x2", "x1"], ("m", 1): ["x1", "x2"], ("m", 2): [], ("a", 0): ["x1"], ("a", 1): []}
     assert {k: (r["uses_markers"], r["is_citation_context"], r["chunk_num"]) for k, r in got.items()} == {k: (k[0] == "m", bool(cited[k]), k[1] + 1) for k in got}
+
+
+def test_similar_edges_filter_and_approximate_search(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(11, 64))
+    x = centres[np.arange(240) % 11] + 0.35 * rng.normal(size=(240, 64))
+    x[7] = x[19]  # equal vectors: an edge goes both ways, none to itself
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)] + [(900, None, 0)], "vec_id long, vector array<float>, side int")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -2)
+    want = {(i, int(j)) for i in range(240) for j in np.argsort(-np.round(sims[i], 12), kind="stable")[:3] if sims[i, j] >= 0.7}
+    made = graph.similar_edges(df, "vec_id", "vector", 3, 0.7).collect()
+    assert {(r["src"], r["dst"]) for r in made} == want and (7, 19) in want and (19, 7) in want and {r["type"] for r in made} == {"SIMILAR_TO"}
+    asked = df.filter("vec_id < 40").withColumnRenamed("vec_id", "query_id")
+    exact = vectors.cosine_topk(asked, df, 5, where=F.col("side") == 1).collect()
+    odd = [j for j in range(240) if j % 2]
+    full = u @ u.T
+    for q in range(40):
+        got = [r["vec_id"] for r in sorted(exact, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert got == sorted(odd, key=lambda j: (-round(full[q, j], 12), j))[:5]
+    near = vectors.approx_topk(asked, df, 5, where=F.col("side") == 1).collect()
+    best = {(r["query_id"], r["vec_id"]) for r in exact}
+    assert all(r["vec_id"] % 2 and abs(r["similarity"] - full[r["query_id"], r["vec_id"]]) < 1e-9 for r in near)
+    assert len(best & {(r["query_id"], r["vec_id"]) for r in near}) >= 0.95 * len(best)
