@@ -72,8 +72,9 @@ def clean_ids(spark: SparkSession, d: str) -> DataFrame:
 )
 def ids_in_text(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("arxiv_id")
-    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" arXiv: "), c, F.lit(" and https://arxiv.org/abs/"), c, F.lit(" arXiv:"), c, F.lit("v2"))
-    return table(spark, d, "documents").filter(c.isNotNull()).select("doc_id", F.explode(X.references_in_text(text)).alias("ref"))
+    own = F.concat(F.lit(" arXiv: "), c, F.lit(" and https://arxiv.org/abs/"), c, F.lit(" arXiv:"), c, F.lit("v2"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.coalesce(own, F.lit("")))  # a document without an id has its text searched too
+    return table(spark, d, "documents").select("doc_id", F.explode(X.references_in_text(text)).alias("ref"))
 
 
 @query(

@@ -28,3 +28,10 @@ def test_norms_and_checksums_of_every_document(spark, tmp_path):
     got = {r["doc_id"]: (r["norm"], r["checksum"]) for r in registry.QUERIES["reference_norm_checksum_all"](spark, d).collect()}
     norm = lambda t: re.sub(r"\s+", " ", re.sub(r"""[\[\]().,;:"<>]""", " ", t)).strip().lower()
     assert got == {i: (None, None) if t is None else (norm(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+
+
+def test_ids_are_searched_in_documents_without_an_id(spark, tmp_path):
+    rows = [(1, "see arXiv:2401.00001 and https://arxiv.org/abs/2402.00002v3", None), (2, "nothing", None), (3, None, "2403.00003"), (4, None, None)]
+    d = tables(spark, tmp_path, documents=(rows, "doc_id long, text string, arxiv_id string"))
+    got = sorted((r["doc_id"], r["ref"]) for r in registry.QUERIES["ids_in_text"](spark, d).collect())
+    assert got == [(1, "2402.00002v3"), (1, "arXiv:2401.00001"), (3, "2403.00003"), (3, "arXiv: 2403.00003"), (3, "arXiv:2403.00003v2")]
