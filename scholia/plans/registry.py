@@ -239,6 +239,16 @@ def name_token_sets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.array_join(N.token_set(F.element_at("normalized_authors", 1)), " ").alias("words"))
 
 
+@query(
+    r"""WITH p AS (SELECT id, generate_subscripts(normalized_authors, 1) - 1 AS pos, unnest(normalized_authors) AS a FROM papers)
+    SELECT id, pos::BIGINT AS pos, array_to_string(list_sort(list_distinct(string_split_regex(lower(trim(a)), '\s+'))), ' ') AS words FROM p"""
+)
+def name_token_sets_all(spark: SparkSession, d: str) -> DataFrame:
+    """N11 over every author of a paper; `name_token_sets` takes the first."""
+    rows = table(spark, d, "papers").select("id", F.posexplode("normalized_authors").alias("pos", "name"))
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), F.array_join(N.token_set("name"), " ").alias("words"))
+
+
 @query(
     r"""WITH a AS (SELECT DISTINCT unnest(authors) AS a FROM works), p AS (SELECT a, list_filter(string_split_regex(a, '[^0-9A-Za-z''\-]+'), lambda t: t <> '') AS p FROM a WHERE a IS NOT NULL),
     w AS (SELECT a, p, list_filter(p, lambda t: NOT regexp_matches(replace(t, '.', ''), '^[A-Za-z](-[A-Za-z])*$')) AS w FROM p),
@@ -263,6 +273,16 @@ def citation_style_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_seq", *(n[k].cast("long").alias(k) for k in ("bracket", "paren", "superscript")))
 
 
+@query(
+    rf"""SELECT chunk_seq, len(regexp_extract_all(t, '{C.BRACKETED}')) AS bracket, len(regexp_extract_all(t, '{C.PARENTHESISED}')) AS paren, len(regexp_extract_all(t, '{C.AUTHOR_YEAR}')) AS author_year,
+    len(regexp_extract_all(t, '{C.SUPERSCRIPT}')) AS superscript, len(regexp_extract_all(t, '{C.SMALL_NUMBER}')) AS raw_numeric FROM (SELECT chunk_seq, coalesce(chunk_text, '') AS t FROM chunks)"""
+)
+def citation_style_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """All five counts; `citation_style_counts` gives three of them."""
+    n = C.style_counts("chunk_text")
+    return table(spark, d, "chunks").select("chunk_seq", *(n[k].cast("long").alias(k) for k in style.KINDS))
+
+
 @query(
     r"""SELECT doc_id, len(regexp_extract_all(t, '\([A-Z][A-Za-z\-\s\.]+(?:et al\.|and [A-Z][A-Za-z\-]+)?,?\s*(?:19|20)\d{2}\)|\b[A-Z][A-Za-z\-\.\s]+et al\.\s*\(\s*(?:19|20)\d{2}\s*\)|\b[A-Z][A-Za-z\-\.\s]+\,\s*(?:19|20)\d{2}\b')) AS author_year
     FROM (SELECT doc_id, 'We follow (Smith et al., ' || (1990 + doc_id % 30) || ') and Jones et al. (' || (1980 + doc_id % 20) || ') in ' || doc_id || ' cases, Brown, 2001.' AS t FROM documents)"""

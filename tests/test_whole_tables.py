@@ -35,3 +35,14 @@ def test_ids_are_searched_in_documents_without_an_id(spark, tmp_path):
     d = tables(spark, tmp_path, documents=(rows, "doc_id long, text string, arxiv_id string"))
     got = sorted((r["doc_id"], r["ref"]) for r in registry.QUERIES["ids_in_text"](spark, d).collect())
     assert got == [(1, "2402.00002v3"), (1, "arXiv:2401.00001"), (3, "2403.00003"), (3, "arXiv: 2403.00003"), (3, "arXiv:2403.00003v2")]
+
+
+def test_all_five_counts_and_every_name(spark, tmp_path):
+    texts = ["[1, 2] (3) (Smith et al., 2001) x² 45", None, "Brown, 1999 [4-6] in 7 or 2001 cases"]
+    names = [(1, ["li wei", "doe jane q", "wei wei li"]), (2, []), (3, None)]
+    d = tables(spark, tmp_path, chunks=(list(enumerate(texts)), "chunk_seq long, chunk_text string"), papers=(names, "id long, normalized_authors array<string>"))
+    kinds = ("bracket", "paren", "author_year", "superscript", "raw_numeric")
+    got = {r["chunk_seq"]: tuple(r[k] for k in kinds) for r in registry.QUERIES["citation_style_counts_all"](spark, d).collect()}
+    assert got == {0: (1, 1, 1, 1, 4), 1: (0, 0, 0, 0, 0), 2: (1, 0, 1, 0, 3)}
+    sets = sorted(tuple(r) for r in registry.QUERIES["name_token_sets_all"](spark, d).select("id", "pos", "words").collect())
+    assert sets == [(1, 0, "li wei"), (1, 1, "doe jane q"), (1, 2, "li wei")]
