@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import tokens, uuid5
+from scholia.session import materialize
 
 PAPER_SCHEMA = "arxiv_id string, title string, abstract string, vector array<float>, uuid string"
 CHUNK_SCHEMA = "chunk_paper_id string, chunk_id string, chunk_num int, section_title string, chunk_text string, token_len int, checksum string, vector array<float>, uuid string"
@@ -173,22 +174,23 @@ def approx_topk(queries: DataFrame, stored: DataFrame, k: int = 5, dim: int = 64
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def term_index(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Postings (key, term, tf, length) of a text column."""
+def term_index(documents: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """Postings (key, term, tf, length) of a text column, of all terms or of those of ``only`` (term)."""
     terms = documents.select(F.col(key), F.transform(tokens(F.lower(text)), lambda t: t).alias("_t"))
     each = terms.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    each = each if only is None else each.join(only, "term", "left_semi")
     return each.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """V7: (query_id, key, score, rank) of the k best documents of each query by BM25.
 
-    ``queries``: (query_id, text). Only postings of the queries' terms are joined.
+    ``queries``: (query_id, text). Only postings of the queries' terms are made, once; the terms are a
+    table, so that their size is known and few of them are sent to the documents instead of the reverse.
     """
-    postings = term_index(documents, key, text)
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.lower("text")))).alias("term"))
     sizes = documents.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.lower(text)))).alias("avg_len"))
-    held = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    held = materialize(term_index(documents, key, text, materialize(asked.select("term").distinct(), "terms")), "postings")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     scored = held.join(df, "term").join(asked, "term").crossJoin(F.broadcast(sizes))  # one row: the corpus statistics
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -458,11 +458,15 @@ def embed_new_chunks(spark: SparkSession, d: str) -> DataFrame:
     return new.select("chunk_seq", "uuid", F.size("vector").alias("dim"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select(F.col("chunk_seq").alias("id"), "chunk_text").filter("chunk_text IS NOT NULL")
+
+
 @query()
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Queries are the works whose number is divisible by 100, searched in the titles of all papers."""
+    """Queries are the works whose number is divisible by 100, searched in the text of all chunks."""
     asked = table(spark, d, "works").filter(F.col("title").isNotNull() & (F.substring("id", 2, 20).cast("long") % 100 == 0)).select(F.col("id").alias("query_id"), F.col("title").alias("text"))
-    return vectors.bm25(table(spark, d, "papers").select("id", "title").filter("title IS NOT NULL"), "id", "title", asked)
+    return vectors.bm25(_texts(spark, d), "id", "chunk_text", asked)
 
 
 # --- graph (G1-G6, J15, O1-O4, P12) --------------------------------------------------------------------------------
@@ -598,11 +602,11 @@ def tei_references(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """V7: ranks by words and by vectors of titles, fused; queries are the works whose number is divisible by 100."""
+    """V7: ranks by words and by vectors of the text of chunks, fused; queries are the works whose number is divisible by 100."""
     asked = table(spark, d, "works").filter(F.col("title").isNotNull() & (F.substring("id", 2, 20).cast("long") % 100 == 0)).select(F.substring("id", 2, 20).cast("long").alias("query_id"), F.col("title").alias("text"))
-    papers = table(spark, d, "papers").select("id", "title").filter("title IS NOT NULL")
-    words = vectors.bm25(papers, "id", "title", asked)
-    stored = vectors.embed(papers.withColumnRenamed("id", "vec_id"), F.col("title")).select("vec_id", "vector")
+    texts = _texts(spark, d)
+    words = vectors.bm25(texts, "id", "chunk_text", asked)
+    stored = vectors.embed(texts.withColumnRenamed("id", "vec_id"), F.col("chunk_text")).select("vec_id", "vector")
     near = vectors.cosine_topk(vectors.embed(asked, F.col("text")).select("query_id", "vector"), stored, 10)
     return vectors.fuse_ranks(words, near.select("query_id", F.col("vec_id").alias("id"), "rank"), "id")
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from scholia.functions import citations as C
@@ -46,3 +47,22 @@ def test_all_five_counts_and_every_name(spark, tmp_path):
     assert got == {0: (1, 1, 1, 1, 4), 1: (0, 0, 0, 0, 0), 2: (1, 0, 1, 0, 3)}
     sets = sorted(tuple(r) for r in registry.QUERIES["name_token_sets_all"](spark, d).select("id", "pos", "words").collect())
     assert sets == [(1, 0, "li wei"), (1, 1, "doe jane q"), (1, 2, "li wei")]
+
+
+def test_searches_index_the_text_of_chunks(spark, tmp_path):
+    texts = {1: "A quiet preamble. " * 20 + "Then the zebra graph appears, zebra again.", 2: "graph theory of graph minors", 3: "unrelated words only", 4: None, 5: "zebra"}
+    works = [("W100", "Zebra graph"), ("W101", "unrelated"), ("W200", None)]
+    papers = [(1, "Zebra graph"), (2, "unrelated")]
+    d = tables(spark, tmp_path, chunks=(list(texts.items()), "chunk_seq long, chunk_text string"), works=(works, "id string, title string"), papers=(papers, "id long, title string"))
+    docs = {i: re.findall(r"\w+|[^\w\s]", t.lower()) for i, t in texts.items() if t}
+    mean = sum(map(len, docs.values())) / len(docs)
+    want = {}
+    for term in ("zebra", "graph"):
+        n = sum(term in w for w in docs.values())
+        for i, w in docs.items():
+            if f := w.count(term):
+                want[i] = want.get(i, 0) + math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    made = registry.QUERIES["bm25_topk"](spark, d).collect()
+    got = {r["id"]: r["score"] for r in made}
+    assert {r["query_id"] for r in made} == {"W100"} and got.keys() == want.keys() == {1, 2, 5} and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+    assert {r["id"] for r in registry.QUERIES["hybrid_topk"](spark, d).collect()} == {1, 2, 3, 5}
