@@ -3,8 +3,10 @@
 One state is clean, each other state is a pair (the text's own encoding, the one it was read with),
 once or twice over. A state emits what its inverse transform makes of the characters, by a character
 bigram model that is trained on the corpus itself. Viterbi labels every character; each labelled
-span gets its state's inverse. Characters that ASCII shares cost the same in every state, so a text
-in which no state beats the clean one anywhere is done without a search.
+span gets its state's inverse. Texts are read a batch at a time: what a single-byte confusion costs
+depends on two neighbouring characters only, so it is computed once a distinct pair of the batch; a
+text in which no state beats the clean one anywhere is done without a search; the others of similar
+length are searched together, as one matrix of texts and states.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ MOST_CONFUSED = 3.0
 #: An escape from clean text to unrestorable text (its replacement characters), and its cost a character.
 DAMAGED = "damaged"
 _BARRIER = -1
+#: Cells (texts x states x steps) of one search, and characters of texts that are read together, about.
+SEARCH_CELLS, BATCH_CHARS = 1 << 21, 1 << 20
+#: Lies between two texts in a running sum: more than a text can gain.
+_APART = 1e7
 _REPLACEMENT = 0xFFFD
 TOP = 0x110000
 
@@ -152,22 +158,6 @@ class Bigrams:
         return -np.log((n + self.strength * self.p1[c]) / (self.n1[p] + self.strength))
 
 
-@lru_cache(maxsize=64)
-def _signs(encoding: str) -> tuple[frozenset[str], frozenset[str]]:
-    """Characters that stand for a lead byte, and for a continuation byte, of UTF-8 in ``encoding``."""
-    table = _to_byte(encoding)
-    points = np.flatnonzero(table >= 0x80)
-    lead = frozenset(chr(c) for c in points if 0xC2 <= table[c] < 0xF5)
-    return lead, frozenset(chr(c) for c in points if table[c] < 0xC0)
-
-
-@lru_cache(maxsize=64)
-def _moved(own: str, read: str) -> frozenset[str]:
-    """Characters that mean another one if ``own`` was read as ``read``."""
-    table, back = _to_byte(read), _from_byte(own)
-    return frozenset(chr(c) for c in np.flatnonzero(table >= 0x80) if back[table[c]] not in (c, _BARRIER))
-
-
 @lru_cache(maxsize=1)
 def states() -> tuple[tuple[str, ...], ...]:
     utf = [("utf-8", w) for w in READ_AS]
@@ -179,19 +169,12 @@ class Decoder:
     def __init__(self, model: Bigrams) -> None:
         self.model = model
 
-    def readings(self, text: str, x: np.ndarray):
-        """(state, emission a character, may start, may end, units) of every state that could explain something."""
+    def readings(self, text: str, x: np.ndarray, possible):
+        """(state, emission a character or None, units or runs) of every ``possible`` state that could explain something."""
         n = len(x)
         plain = Units(x, np.arange(n), np.ones(n, np.int64))
         m = self.model
-        signs = {c for c in set(text) if c > "\x7f"}
-        for s in states():
-            if s[0] == "utf-8" and s[-1] in READ_AS:
-                lead, cont = _signs(s[-1])
-                if signs.isdisjoint(lead) or signs.isdisjoint(cont):
-                    continue
-            elif s in CONFUSED and signs.isdisjoint(_moved(*s)):
-                continue
+        for s in possible:
             if s[0] == DAMAGED:
                 lost = x == _REPLACEMENT
                 if lost.any():
@@ -218,19 +201,95 @@ class Decoder:
                 if ((code != x) & (code >= 0)).any():
                     yield s, None, Units(code, plain.start, plain.length)
 
+    def possible(self, texts: list[str]) -> list[list[tuple[str, ...]]]:
+        """The states of each text that may beat the clean one, found for all texts together."""
+        joined, begin = _joined(texts)
+        out: list[list[tuple[str, ...]]] = [[] for _ in texts]
+        at = np.flatnonzero(joined >= 128)
+        if not len(at):
+            return out
+        x = joined[at]
+        owner = np.searchsorted(begin, at, "right") - 1
+        follows = np.concatenate([np.diff(at) == 1, [False]])  # whether the next sign is the next character
+        seen = {w: np.unique(owner[n > 0]) for w, n in ((w, _sequences(x, follows, w)) for w in READ_AS)}
+        wide, lost = np.unique(owner[x >= 0x3000]), np.unique(owner[x == _REPLACEMENT])
+        gains = self._confusions(joined, begin, at)
+        for s in states():
+            if s[0] == DAMAGED:
+                hit = lost
+            elif s in CONFUSED:
+                hit = gains.get(s, ())
+            else:
+                hit = seen[s[-1]] if s[-1] in seen else wide
+            for k in hit:
+                out[k].append(s)
+        return out
+
+    def _confusions(self, joined: np.ndarray, begin: np.ndarray, at: np.ndarray) -> dict[tuple[str, ...], np.ndarray]:
+        """The texts in which a span read as a single-byte confusion gains more than its toll.
+
+        Two ASCII characters cost the same in every state, so only places at or behind another sign count.
+        """
+        place = np.union1d(at, np.minimum(at + 1, len(joined) - 1))
+        place = place[joined[place - 1] + joined[place] >= 128]  # every text has a line end before it
+        pair, which = np.unique((joined[place - 1] << 21) | joined[place], return_inverse=True)
+        before, sign = pair >> 21, pair & 0x1FFFFF
+        clean = self.model.cost(sign, before)
+        owner = np.searchsorted(begin, place, "right") - 1
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        held = owner[first]
+        apart = np.zeros(len(place))
+        apart[first] = -_APART
+        out = {}
+        for s in CONFUSED:
+            gain = np.maximum(clean - self._confused(s, before, sign, clean), -1e4)
+            if not (gain > 0).any():
+                continue
+            total = np.cumsum(gain[which] + apart)
+            # A span may begin with the first place of a text: the sum before it is the lowest so far.
+            low = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]) + apart)
+            best = np.maximum.reduceat(total - low, first)
+            out[s] = held[best > ENTER_CONFUSED]
+        return out
+
+    def _confused(self, s: tuple[str, ...], before: np.ndarray, sign: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        """What a character costs after another one in the state of a single-byte confusion."""
+        table, back = _to_byte(s[1]), _from_byte(s[0])
+        read = lambda c: np.where(table[c] >= 0, back[np.maximum(table[c], 0)], _BARRIER)
+        code, prior = read(sign), read(before)
+        cost = self.model.cost(code, prior)
+        after = prior < 0
+        cost[after] = np.where(code[after] != sign[after], -np.log(self.model.p1[code[after]]), clean[after])
+        cost[code < 0] = np.inf
+        return np.maximum(cost, clean - MOST_CONFUSED)
+
     def label(self, text: str):
         """The list of (start, end, state) spans that aren't clean, best path over all states."""
+        return self.label_all([text])[0]
+
+    def label_all(self, texts: list[str]) -> list[list[tuple[int, int, tuple[str, ...]]]]:
+        """`label` of every text."""
+        lattices, out = [], [[] for _ in texts]
+        for k, possible in enumerate(self.possible(texts)):
+            if possible and (made := self._lattice(texts[k], possible)):
+                lattices.append((k, *made))
+        for k, spans in _viterbi(lattices):
+            out[k] = spans
+        return out
+
+    def _lattice(self, text: str, possible):
+        """(states, emissions, may start, may end) of the states that gain more than their toll somewhere, or None."""
         x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n = len(x)
         clean = self.model.cost(x, np.concatenate([[10], x[:-1]]))
         names, emit, start, end = [None], [clean], [np.ones(n, bool)], [np.ones(n, bool)]
-        for s, cost, reading in self.readings(text, x):
+        for s, cost, reading in self.readings(text, x, possible):
             can_start, can_end = np.ones(n, bool), np.ones(n, bool)
             if cost is None and isinstance(reading, Units):
                 u = reading
                 per = self.model.cost(u.code, np.concatenate([[10], u.code[:-1]]))
                 per[u.code < 0] = np.inf
-                after_barrier = np.concatenate([[False], u.code[:-1] < 0])
+                after_barrier = np.concatenate([[False], u.code[:-1] < 0]) & (u.code >= 0)
                 per[after_barrier] = clean[u.start[after_barrier]]
                 decoded = (u.length > 1) | (u.code != x[u.start])
                 per[after_barrier & decoded] = -np.log(self.model.p1[u.code[after_barrier & decoded]]) if (after_barrier & decoded).any() else 0
@@ -255,43 +314,7 @@ class Decoder:
             best = float((total - np.minimum.accumulate(total)).max())
             if best > (ENTER_CONFUSED if s in CONFUSED else ENTER):
                 names.append(s), emit.append(cost), start.append(can_start), end.append(can_end)
-        if len(names) == 1:
-            return []
-        return self._viterbi(names, np.array(emit), np.array(start), np.array(end))
-
-    def _viterbi(self, names, emit, start, end):
-        k, n = emit.shape
-        # Characters between which every state costs the same are one step.
-        spread = np.where(np.isfinite(emit), emit, 1e6)
-        same = (spread.max(axis=0) - spread.min(axis=0) < 1e-9) & start.all(axis=0) & end.all(axis=0)
-        keep = ~same | np.concatenate([[True], ~same[:-1]])
-        at = np.flatnonzero(keep)
-        score = np.full(k, np.inf)
-        score[0] = 0.0
-        toll = np.array([ENTER_CONFUSED if s in CONFUSED else ENTER for s in names])
-        back = np.empty((len(at), k), np.int16)
-        may_end = np.ones(k, bool)
-        for j, i in enumerate(at):
-            leave = np.where(may_end, score, np.inf)
-            leave[1:] += LEAVE
-            source = int(np.argmin(leave))
-            entered = leave[source] + np.where(start[:, i], toll, np.inf)
-            entered[0] = leave[source] if start[0, i] else np.inf
-            stay = score <= entered
-            back[j] = np.where(stay, np.arange(k), source)
-            score = np.where(stay, score, entered) + emit[:, i]
-            may_end = end[:, i]
-        score = np.where(may_end, score, np.inf)
-        score[1:] += LEAVE
-        state = int(np.argmin(score))
-        path = np.empty(len(at), np.int16)
-        for j in range(len(at) - 1, -1, -1):
-            path[j] = state
-            state = back[j][state]
-        full = path[np.cumsum(keep) - 1]
-        cut = np.flatnonzero(np.diff(full)) + 1
-        edges = [0, *cut.tolist(), n]
-        return [(a, b, names[full[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True) if full[a]]
+        return None if len(names) == 1 else (names, np.array(emit), np.array(start), np.array(end))
 
     def restore(self, text: str, spans) -> tuple[str, bool]:
         """(text with every span inverted, whether nothing was lost)."""
@@ -304,14 +327,74 @@ class Decoder:
                 out.append(part)
                 whole = False
             else:
-                made = _invert(part, s)
-                whole &= "�" not in made
+                made, sound = _invert(part, s)
+                whole &= sound and "�" not in made
                 out.append(made)
         out.append(text[done:])
         return "".join(out), whole
 
 
-def _invert(part: str, s: tuple[str, ...]) -> str:
+def _viterbi(lattices):
+    """(key, spans) of every (key, states, emissions, may start, may end); those of similar length are one matrix."""
+    packed = []
+    for key, names, emit, start, end in lattices:
+        # Characters between which every state costs the same are one step.
+        spread = np.where(np.isfinite(emit), emit, 1e6)
+        same = (spread.max(axis=0) - spread.min(axis=0) < 1e-9) & start.all(axis=0) & end.all(axis=0)
+        keep = ~same | np.concatenate([[True], ~same[:-1]])
+        at = np.flatnonzero(keep)
+        packed.append((len(at), key, names, emit[:, at], start[:, at], end[:, at], np.cumsum(keep) - 1))
+    packed.sort(key=lambda p: p[0])
+    group, states_ = [], 0
+    for p in packed:
+        states_ = max(states_, len(p[2]))
+        if group and (len(group) + 1) * states_ * (p[0] + 1) > SEARCH_CELLS:
+            yield from _search(group)
+            group, states_ = [], len(p[2])
+        group.append(p)
+    if group:
+        yield from _search(group)
+
+
+def _search(group):
+    """The best paths of some texts; a text's steps are followed by clean ones, which end its last span."""
+    n, k, steps = len(group), max(len(p[2]) for p in group), max(p[0] for p in group) + 1
+    emit = np.full((steps, n, k), np.inf)
+    emit[:, :, 0] = 0.0
+    enter, may_end = np.full((steps, n, k), np.inf), np.ones((steps, n, k), bool)
+    enter[:, :, 0] = 0.0
+    for i, (size, _, names, e, start, end, _) in enumerate(group):
+        toll = np.array([0.0] + [ENTER_CONFUSED if s in CONFUSED else ENTER for s in names[1:]])
+        emit[:size, i, : len(names)] = e.T
+        enter[:size, i, : len(names)] = np.where(start.T, toll, np.inf)
+        may_end[:size, i, : len(names)] = end.T
+    score = np.full((n, k), np.inf)
+    score[:, 0] = 0.0
+    pay = np.where(np.arange(k) > 0, LEAVE, 0.0)
+    stays, sources = np.empty((steps, n, k), bool), np.empty((steps, n), np.int16)
+    row = np.arange(n)
+    leave = score + pay
+    for j in range(steps):
+        source = leave.argmin(axis=1)
+        entered = leave[row, source][:, None] + enter[j]
+        stay = score <= entered
+        stays[j], sources[j] = stay, source
+        score = np.where(stay, score, entered) + emit[j]
+        leave = np.where(may_end[j], score + pay, np.inf)
+    state = np.zeros(n, np.int64)  # the step behind a text is clean
+    path = np.empty((steps, n), np.int16)
+    for j in range(steps - 1, -1, -1):
+        path[j] = state
+        state = np.where(stays[j, row, state], state, sources[j])
+    for i, (size, key, names, _, _, _, step) in enumerate(group):
+        full = path[:size, i][step]
+        edges = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), len(full)]
+        yield key, [(a, b, names[full[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True) if full[a]]
+
+
+def _invert(part: str, s: tuple[str, ...]) -> tuple[str, bool]:
+    """(what a span was before, whether every sign of it had a place in the encoding it was read with)."""
+    sound = True
     for own, read in [(s[k], s[k + 1]) for k in range(len(s) - 2, -1, -2)]:
         if read in ("gb18030", "cp932", "big5"):
             pieces, at = [], 0
@@ -320,28 +403,57 @@ def _invert(part: str, s: tuple[str, ...]) -> str:
                 at = m.end()
             part = "".join([*pieces, part[at:]])
         else:
-            table = _to_byte(read)
-            part = bytes(int(max(0x3F, table[ord(c)])) if table[ord(c)] < 0 else int(table[ord(c)]) for c in part).decode(own, "replace")
-    return part
+            data = _to_byte(read)[[ord(c) for c in part]]
+            sound &= bool((data >= 0).all())
+            part = np.where(data < 0, 0x3F, data).astype(np.uint8).tobytes().decode(own, "replace")
+    return part, sound
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, a line end before each, and where each text's line end is."""
+    joined = np.frombuffer("".join("\n" + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64)
+    return joined, begin
+
+
+def _sequences(x: np.ndarray, follows: np.ndarray, encoding: str) -> np.ndarray:
+    """1 for every sign of x that begins what reads as a UTF-8 sequence in ``encoding``; x are signs outside ASCII."""
+    b = _to_byte(encoding)[x]
+    tail = (b >= 0x80) & (b < 0xC0)
+    next_ = lambda v: np.concatenate([v[1:], [False]]) & follows
+    one = next_(tail)
+    two = one & next_(one)
+    three = one & next_(two)
+    return (((b >= 0xC2) & (b < 0xE0) & one) | ((b >= 0xE0) & (b < 0xF0) & two) | ((b >= 0xF0) & (b < 0xF5) & three)).astype(np.int64)
 
 
 _FAST = re.compile("[�\x80-\x9f-]")
 
 
-def _plausible(text: str) -> bool:
-    """Whether a text may train the first model: at most one thing in it decodes as UTF-8, no sign is lost or private."""
-    if _FAST.search(text):
-        return False
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    u = Units(x, np.arange(len(x)), np.ones(len(x), np.int64))
-    signs = {c for c in text if c > "\x7f"}
+def _plausible(texts: list[str]) -> np.ndarray:
+    """Whether texts may train the first model: at most one thing in each decodes as UTF-8, no sign is lost or private."""
+    joined, begin = _joined(texts)
+    at = np.flatnonzero(joined >= 128)
+    owner = np.searchsorted(begin, at, "right") - 1
+    follows = np.concatenate([np.diff(at) == 1, [False]]) if len(at) else np.empty(0, bool)
+    good = np.array([not _FAST.search(t) for t in texts], bool)
     for w in ("latin-1", "cp1252", "cp1250", "cp1251", "mac-roman", "cp437"):
-        lead, cont = _signs(w)
-        if not (signs.isdisjoint(lead) or signs.isdisjoint(cont)):
-            made, ok = _as_utf8(u, w)
-            if ok and (made.length > 1).sum() > 1:
-                return False
-    return True
+        found = np.bincount(owner, _sequences(joined[at], follows, w), len(texts)) if len(at) else np.zeros(len(texts))
+        good &= found <= 1
+    return good
+
+
+def _runs(items, length=len, size: int = BATCH_CHARS):
+    """The items in runs of about ``size`` characters."""
+    run, held = [], 0
+    for t in items:
+        run.append(t)
+        held += length(t)
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
 def _count(decoder_path: str | None):
@@ -349,22 +461,15 @@ def _count(decoder_path: str | None):
 
     def count(batches):
         total: dict[int, int] = {}
-        state: dict = {}
         for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
             arrays = []
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                if not text.isascii():
-                    if decoder_path is None:
-                        if not _plausible(text):
-                            continue
-                    else:
-                        if "d" not in state:
-                            state["d"] = Decoder(load_model(decoder_path))
-                        if state["d"].label(text):
-                            continue
-                arrays.append(np.frombuffer(("\n" + text).encode("utf-32-le", "surrogatepass"), np.uint32))
+            for run in _runs(texts):
+                if decoder_path is None:
+                    held = _plausible(run)
+                else:
+                    held = [not spans for spans in Decoder(load_model(decoder_path)).label_all(run)]
+                arrays += [np.frombuffer(("\n" + t).encode("utf-32-le", "surrogatepass"), np.uint32) for t, ok in zip(run, held, strict=True) if ok]
             if not arrays:
                 continue
             x = np.concatenate(arrays).astype(np.int64)
@@ -417,8 +522,13 @@ def repair(documents: DataFrame, text: str = "text", rounds: int = 1) -> DataFra
     def fix(column: pa.Array) -> pa.Array:
         decoder = Decoder(load_model(path))
         restored, garbled, whole = [], [], []
-        for value in column.to_pylist():
-            spans = [] if not value or value.isascii() else decoder.label(value)
+        values = column.to_pylist()
+        found: dict[int, list] = {}
+        at = [k for k, v in enumerate(values) if v and not v.isascii()]
+        for run in _runs(at, lambda k: len(values[k])):
+            found.update(zip(run, decoder.label_all([values[k] for k in run]), strict=True))
+        for k, value in enumerate(values):
+            spans = found.get(k, ())
             made, ok = decoder.restore(value, spans) if spans else (value, True)
             restored.append(made), garbled.append(bool(spans)), whole.append(ok)
         return pa.StructArray.from_arrays([pa.array(restored, pa.string()), pa.array(garbled), pa.array(whole)], ["restored", "garbled", "whole"])
