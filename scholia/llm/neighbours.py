@@ -2,27 +2,38 @@
 
 Centroids are fitted on a bounded sample and searched by an in-memory graph in the workers. A vector
 is stored in its nearest list and, if it lies near a boundary, in further ones; the lists a query
-reads are picked by the same distance ratio. A list is then one block product of its queries with
-its members, lists beyond a bound in several blocks, and a query's partial results are merged.
+reads are picked by the same distance ratio. A list that holds too many gets centroids of its own,
+fitted in a task on a sample of its members and kept in a file that workers read, and so on until all
+are small: lists stay balanced and their number grows with the vectors, while no task and not the
+driver holds more than one level of one list. A list is then one block product of its queries with
+its members, and a query's partial results are merged.
 Equal directions are one representative with its first few row ids, so a group of copies of any
 share of the rows costs as much as a single vector.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.session import materialize
+from scholia.session import local_path, materialize, scratch_path
 
 #: Members a list has on average, and members (or queries) a block of a list has at most.
 LIST_SIZE = 128
 MAX_BLOCK = 2048
-#: Vectors the centroids are fitted on, at most, and so many of them a centroid at least (beyond some 800,000
-#: vectors the lists grow instead); every vector is indexed whatever the sample.
+#: Vectors the first centroids are fitted on, at most, and so many of them a centroid at least; every vector is
+#: indexed whatever the sample.
 MAX_SAMPLE, SAMPLE_PER_LIST = 100_000, 16
+#: A list of more than so many times the average is divided, into so many parts at most at a time.
+CROWDED, MAX_PARTS = 8, 1024
+#: Members of one list that one task divides, about.
+TASK_ROWS = 100_000
 #: A list is read (stored in) if its distance is at most this ratio of the nearest list's, up to so many lists.
 READ_RATIO, MAX_READ = 1.15, 3
 STORE_RATIO, MAX_STORE = 1.05, 2
@@ -117,6 +128,21 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()) if isinstance(column, (pa.Array, pa.ChunkedArray)) else b"".join(column), np.float32).reshape(-1, dim)
 
 
+def _choose(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, whether it's stored there) of the lists each row of x reads, by the ratio of distances."""
+    lists, sims = graph.search(x, MAX_READ)
+    distance = np.sqrt(np.maximum(0, 2 - 2 * sims))
+    ratio = distance / np.maximum(distance[:, :1], 1e-6)
+    rank = np.arange(lists.shape[1])
+    read = (ratio <= READ_RATIO) | (rank == 0)
+    stored = ((ratio <= STORE_RATIO) & (rank < MAX_STORE)) | (rank == 0)
+    row, at = np.nonzero(read | stored)
+    return row, lists[row, at], stored[row, at]
+
+
+_POSTS = "list long, rep long, vector binary, stored boolean"
+
+
 def _postings(centroids: np.ndarray, dim: int):
     def postings(batches):
         """A row for each list a vector reads; `stored` says whether it's a member there too."""
@@ -125,19 +151,79 @@ def _postings(centroids: np.ndarray, dim: int):
             x = _matrix(batch.column(1), dim)
             if not len(x):
                 continue
-            lists, sims = graph.search(x, MAX_READ)
-            distance = np.sqrt(np.maximum(0, 2 - 2 * sims))
-            ratio = distance / np.maximum(distance[:, :1], 1e-6)
-            rank = np.arange(lists.shape[1])
-            read = (ratio <= READ_RATIO) | (rank == 0)
-            stored = ((ratio <= STORE_RATIO) & (rank < MAX_STORE)) | (rank == 0)
-            row, at = np.nonzero(read | stored)
+            row, lists, stored = _choose(graph, x)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(lists[row, at], pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(stored[row, at])], ["list", "rep", "vector", "stored"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(stored)], ["list", "rep", "vector", "stored"])
 
     return postings
 
 
+def _write_centroids(root: str, name: str, centroids: np.ndarray) -> None:
+    """Whole or not at all, so a repeated task does no harm."""
+    data = centroids.astype(np.float32).tobytes()
+    if root.startswith(("file:", "/")):
+        folder = local_path(root)
+        os.makedirs(folder, exist_ok=True)
+        part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        with open(part, "wb") as out:
+            out.write(data)
+        os.replace(part, f"{folder}/{name}")
+        return
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(root)
+    files.create_dir(path, recursive=True)
+    with files.open_output_stream(f"{path}/.{name}-{(mark := uuid.uuid4().hex)}") as out:
+        out.write(data)
+    files.move(f"{path}/.{name}-{mark}", f"{path}/{name}")
+
+
+@lru_cache(maxsize=4)
+def _graph_of(root: str, name: str, dim: int) -> CentroidGraph:
+    if root.startswith(("file:", "/")):
+        with open(f"{local_path(root)}/{name}", "rb") as file:
+            data = file.read()
+    else:
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(root)
+        with files.open_input_stream(f"{path}/{name}") as file:
+            data = file.read()
+    return CentroidGraph(np.frombuffer(data, np.float32).reshape(-1, dim))
+
+
+def _fit_lists(root: str, dim: int):
+    def fit(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
+        """Centroids of one crowded list, from the sample of its members, as a file; how many there are."""
+        x = _matrix(tab["vector"], dim)
+        made = _fit(x, min(tab["parts"][0].as_py(), len(x)), 6, 11)
+        # Parts that would hold few are left to their neighbours, so that whoever reads one finds enough in it.
+        size = np.bincount(np.concatenate([np.argmax(x[a : a + 8192] @ made.T, axis=1) for a in range(0, len(x), 8192)]), minlength=len(made))
+        made = made[large] if (large := size >= SAMPLE_PER_LIST // 2).any() else made
+        _write_centroids(root, str(key[0].as_py()), made)
+        return pa.table({"list": pa.array([key[0].as_py()], pa.int64()), "made": pa.array([len(made)], pa.int32())})
+
+    return fit
+
+
+def _divide(root: str, dim: int):
+    def divide(batches):
+        """The postings of crowded lists (sorted by list) as postings of their parts; who only reads, only reads there."""
+        for batch in batches:
+            lists = batch.column("list").to_numpy()
+            x, stored = _matrix(batch.column("vector"), dim), batch.column("stored").to_numpy(zero_copy_only=False)
+            for a in np.flatnonzero(np.diff(lists, prepend=-1)):
+                b = a + int(np.searchsorted(lists[a:], lists[a], "right"))
+                row, part, kept = _choose(_graph_of(root, str(lists[a]), dim), x[a:b])
+                take = pa.array(a + row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists[a] * MAX_PARTS + part, pa.int64()), batch.column("rep").take(take), batch.column("vector").take(take), pa.array(kept & stored[a + row])],
+                    ["list", "rep", "vector", "stored"],
+                )
+
+    return divide
+
+
 def _scan(k: int, dim: int):
     def scan(key: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
         """The k best members of this block for each of its queries."""
@@ -159,7 +245,7 @@ def _scan(k: int, dim: int):
     return scan
 
 
-def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, list_size: int = LIST_SIZE) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: int = 64, list_size: int = LIST_SIZE, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """(id, neighbour, similarity): the k most similar other rows of each usable row, by cosine.
 
     Usable: ``dim`` finite numbers, not all zero. Unusable and null vectors neither ask nor answer.
@@ -178,23 +264,52 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, dim: i
         return spark.createDataFrame([], "id long, neighbour long, similarity float")
     copies = materialize(member.join(groups.filter("n > 1"), ["h1", "h2"]).select("id", "rep", "n"), "copies") if repeated else None
     reps = unit if copies is None else unit.join(copies.filter("id <> rep").select("id"), "id", "left_anti")
-    lists = max(1, min(round(total / list_size), MAX_SAMPLE // SAMPLE_PER_LIST))
+    lists = max(1, min(round(total / list_size), max_sample // SAMPLE_PER_LIST))
     sample = reps.select("id", "vector")
-    if total > MAX_SAMPLE:
-        sample = sample.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * MAX_SAMPLE / total))
-    fitted = [r for r in sample.limit(2 * MAX_SAMPLE).sort("id").toArrow().column(1).combine_chunks().to_pylist()]
+    if total > max_sample:
+        sample = sample.filter(_share(F.xxhash64("id", F.lit(3)), F.lit(max_sample / total)))
+    fitted = [r for r in sample.limit(2 * max_sample).sort("id").toArrow().column(1).combine_chunks().to_pylist()]
     points = np.frombuffer(b"".join(fitted), np.float32).reshape(-1, dim)
     centroids = _fit(points, min(lists, len(points)), 6, 11)
-    posts = reps.select(F.col("id").alias("rep"), "vector").mapInArrow(_postings(centroids, dim), "list int, rep long, vector binary, stored boolean")
-    found = _search_lists(posts, k, dim, max(2, len(centroids)))
+    posts = reps.select(F.col("id").alias("rep"), "vector").mapInArrow(_postings(centroids, dim), _POSTS)
+    # Ids of lists have room for a further level each time: a part's is its list's times MAX_PARTS and its number.
+    found = _search_lists(_balanced(materialize(posts, "postings"), dim, list_size), k, dim)
     best = _top(found, "q", k)
     if copies is None:
         return best.select(F.col("q").alias("id"), F.col("m").alias("neighbour"), F.col("s").alias("similarity"))
     return _expand(best, copies, k)
 
 
-def _search_lists(posts: DataFrame, k: int, dim: int, lists: int) -> DataFrame:
-    posts = materialize(posts, "postings")
+def _share(hashed, share):
+    """A condition that holds for about this share of the hashes."""
+    return F.pmod(hashed, F.lit(1_000_000_007)) < share * 1_000_000_007
+
+
+def _balanced(posts: DataFrame, dim: int, list_size: int, levels: int = 5) -> DataFrame:
+    """``posts`` with every crowded list divided, again and again; what can't be divided is left to the grid of blocks."""
+    spark = posts.sparkSession
+    done: list[DataFrame] = []
+    for _ in range(levels):
+        sizes = posts.groupBy("list").agg(F.sum(F.col("stored").cast("long")).alias("members"))
+        parts = F.least(F.ceil(F.col("members") / list_size), F.lit(MAX_PARTS)).cast("int")
+        crowded = materialize(sizes.filter(F.col("members") > CROWDED * list_size).select("list", "members", parts.alias("parts")), "crowded")
+        if not crowded.head(1):
+            break
+        root = scratch_path(spark, "centroids")
+        within = posts.join(crowded, "list")
+        share = F.col("parts") * SAMPLE_PER_LIST / F.col("members")
+        sample = within.filter("stored").filter(_share(F.xxhash64("rep", F.lit(9)), share)).select("list", "parts", "vector")
+        made = materialize(sample.groupBy("list").applyInArrow(_fit_lists(root, dim), "list long, made int").filter("made > 1"), "fitted")
+        # A list of many rows goes to several tasks, each of which reads its centroids once.
+        moving = within.join(made.select("list"), "list", "left_semi").repartition("list", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / TASK_ROWS))).sortWithinPartitions("list")
+        done.append(posts.join(made.select("list"), "list", "left_anti"))
+        posts = materialize(moving.select("list", "rep", "vector", "stored").mapInArrow(_divide(root, dim), _POSTS), "divided")
+    for rest in done:
+        posts = posts.unionByName(rest)
+    return materialize(posts, "balanced") if done else posts
+
+
+def _search_lists(posts: DataFrame, k: int, dim: int) -> DataFrame:
     sizes = posts.groupBy("list").agg(F.sum(F.col("stored").cast("int")).alias("members"), F.count("*").alias("reads"))
     large = sizes.filter((F.col("members") > MAX_BLOCK) | (F.col("reads") > 4 * MAX_BLOCK)).select("list", F.ceil(F.col("members") / MAX_BLOCK).cast("int").alias("mb"), F.ceil(F.col("reads") / (4 * MAX_BLOCK)).cast("int").alias("qb"))
     # A large list is a grid of blocks: members by column, queries by row. The lists are few: at most one a list_size vectors.

@@ -20,6 +20,9 @@ def test_recall_against_brute_force(spark):
     got = {(r["id"], r["neighbour"]) for r in nearest(df, "chunk_seq", "vector").collect()}
     want = top(x.astype(float), ids, 5)
     assert len(got) == 5 * len(x) and len(got & want) / len(want) > 0.95
+    # Two first lists of some 1,200 members, which are divided into lists of some 64.
+    small = {(r["id"], r["neighbour"]) for r in nearest(df, "chunk_seq", "vector", list_size=64, max_sample=32).collect()}
+    assert len(small) == 5 * len(x) and len(small & want) / len(want) > 0.9
 
 
 def test_unusable_copies_and_small_tables(spark):
