@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.session import read_shared, scratch_path
+from scholia.session import materialize, read_shared, scratch_path
 
 BITS_PER_ROW = 16
 PROBES = 3
@@ -156,10 +156,11 @@ def collapse_format_duplicates(records: DataFrame, canonical: Column, row_id: st
     join that brings the result back to its rows splits skewed keys (adaptive execution).
     """
     spark = records.sparkSession
-    base = records.select(F.col(row_id).alias("_id"), canonical.alias("_canonical"))
-    hashed = base.filter("_canonical IS NOT NULL").withColumn("_hash", F.xxhash64("_canonical"))
-    total = records.count()
-    bits = 1 << max(13, int(np.ceil(np.log2(max(1, total) * BITS_PER_ROW))))
+    form = records.select(F.col(row_id).alias("_id"), canonical.alias("_canonical"))
+    # The canonical form is made once; what's kept of it has a fixed size.
+    base = materialize(form.select("_id", F.when(F.col("_canonical").isNotNull(), F.xxhash64("_canonical")).alias("_hash"), F.unhex(F.sha2("_canonical", 256)).alias("_key")), "canonical")
+    hashed = base.filter("_hash IS NOT NULL")
+    bits = 1 << max(13, int(np.ceil(np.log2(max(1, base.count()) * BITS_PER_ROW))))
     if bits // 8 <= max_filter_bytes:
         path = scratch_path(spark, "repeats")
         built = hashed.select("_hash").mapInArrow(_build(bits), "segment long, once binary, twice binary")
@@ -168,10 +169,10 @@ def collapse_format_duplicates(records: DataFrame, canonical: Column, row_id: st
     else:
         repeats = hashed.groupBy("_hash").count().filter("count > 1").select("_hash", F.lit(True).alias("_maybe"))
         flagged = hashed.join(repeats, "_hash", "left").withColumn("_maybe", F.coalesce("_maybe", F.lit(False)))
-    suspects = flagged.filter("_maybe").select("_id", F.unhex(F.sha2("_canonical", 256)).alias("_key"))
+    suspects = flagged.filter("_maybe").select("_id", "_key")
     classes = suspects.groupBy("_key").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"))
     grouped = suspects.join(classes, "_key").select(F.col("_id").alias("id"), "first_id", "copies")
-    single = flagged.filter("NOT _maybe").select("_id").unionByName(base.filter("_canonical IS NULL").select("_id"))
+    single = flagged.filter("NOT _maybe").select("_id").unionByName(base.filter("_hash IS NULL").select("_id"))
     return grouped.unionByName(single.select(F.col("_id").alias("id"), F.col("_id").alias("first_id"), F.lit(1).cast("long").alias("copies")))
 
 
