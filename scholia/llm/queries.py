@@ -22,6 +22,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return best_values(table(spark, d, "papers")).select("group_id", "field", "row_id")
 
 
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The built record of each group of duplicates and its best whole row."""
+    from scholia.llm.survivors import survivors
+
+    return survivors(table(spark, d, "papers"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from scholia.llm.neighbours import neighbour_pairs
 
@@ -60,7 +67,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_copies(spark: SparkSession, d: str) -> DataFrame:
-    """Number of copies of every record of papers, by normalized_title with authors as a second field."""
+    """Number of copies of every record of papers, by title_and_authors; title tells where its title ends."""
     from scholia.llm.format_duplicates import canonical_record, collapse_format_duplicates
 
     rows = collapse_format_duplicates(table(spark, d, "papers"), canonical_record(F.col("title_and_authors"), F.col("title")))
@@ -94,5 +101,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "restored", "garbled", "whole")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_matches, p4_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_survivors, p3_found, p4_matches, p4_found, p5_found, p6_found, p6_copies, p7_ids, p8_containers, p9_found, p9_restored)}
 ORACLE_SQL: dict[str, str] = {}

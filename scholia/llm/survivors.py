@@ -36,9 +36,11 @@ def day(value: Column) -> Column:
     return F.coalesce(date, F.try_to_timestamp(F.nullif(iso, F.lit("")), F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def best_values(papers: DataFrame, key: str = "title_and_authors", row_id: str = "id", metadata: str = "metadata", fields: Sequence[str] = FIELDS) -> DataFrame:
-    """(group_id, field, row_id, value): for each group of rows with equal ``key`` and each field, the usable value of the most recently revised row.
+def best_values(papers: DataFrame, key: str = "title_and_authors", row_id: str = "id", metadata: str = "metadata", fields: Sequence[str] = FIELDS, trust: Column | None = None) -> DataFrame:
+    """(group_id, field, row_id, value): for each group of rows with equal ``key`` and each field, its best usable value.
 
+    Values are ranked by completeness (unusable ones drop out), then by ``trust``, a column that is larger
+    for rows of better sources (null counts as least; all alike by default), then by the day of revision.
     A row's revision day is ``updated``, or ``created`` where ``updated`` holds no date; rows without
     either come last, and ties go to the larger id, the later arrival. Groups of one row and rows
     whose key is null give nothing; a null or malformed ``metadata`` counts as one without fields; a
@@ -48,20 +50,40 @@ def best_values(papers: DataFrame, key: str = "title_and_authors", row_id: str =
     task before it shuffles, so a group of any share of the rows stays small. Groups are keyed by the
     SHA-256 of the key; long titles aren't shuffled.
     """
+    base, groups = _groups(papers, key, row_id, metadata, fields, trust)
+    long = base.select("_key", "_id", "_trust", "_day", F.explode(F.filter("_values", lambda x: x["value"].isNotNull())).alias("_f"))
+    long = long.select("_key", "_id", "_trust", "_day", F.col("_f.field").alias("field"), F.col("_f.value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy("_key", "field").orderBy(*_best_first()))
+    best = long.withColumn("_rank", rank).filter("_rank = 1")
+    return best.join(groups, "_key").select("group_id", "field", F.col("_id").alias("row_id"), "value")
+
+
+def _best_first() -> list[Column]:
+    """Trust, then recency, then the later arrival."""
+    return [F.desc_nulls_last("_trust"), F.desc_nulls_last("_day"), F.desc("_id")]
+
+
+def _groups(papers: DataFrame, key: str, row_id: str, metadata: str, fields: Sequence[str], trust: Column | None) -> tuple[DataFrame, DataFrame]:
+    """The rows with a key (_key, _id, _trust, _day, _values: field and usable value or null), and the groups of two and more."""
     schema = ", ".join(f"`{f}` STRING" for f in dict.fromkeys([*fields, "created", "updated"]))
     base = papers.filter(F.col(key).isNotNull()).select(
-        F.unhex(F.sha2(F.col(key), 256)).alias("_key"), F.col(row_id).cast("long").alias("_id"), F.from_json(F.col(metadata), schema).alias("_m")
+        F.unhex(F.sha2(F.col(key), 256)).alias("_key"), F.col(row_id).cast("long").alias("_id"), F.from_json(F.col(metadata), schema).alias("_m"), (F.lit(0) if trust is None else trust).alias("_trust")
     )
     groups = base.groupBy("_key").agg(F.min("_id").alias("group_id"), F.count("*").alias("_n")).filter("_n > 1")
     revised = F.coalesce(day(F.col("_m")["updated"]), day(F.col("_m")["created"]))
     values = F.array(*(F.struct(F.lit(f).alias("field"), F.when(usable(F.col("_m")[f], f in PROSE), F.col("_m")[f]).alias("value")) for f in fields))
-    long = base.select("_key", "_id", revised.alias("_day"), F.explode(F.filter(values, lambda x: x["value"].isNotNull())).alias("_f"))
-    long = long.select("_key", "_id", "_day", F.col("_f.field").alias("field"), F.col("_f.value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("_key", "field").orderBy(F.desc_nulls_last("_day"), F.desc("_id")))
-    best = long.withColumn("_rank", rank).filter("_rank = 1")
-    return best.join(groups, "_key").select("group_id", "field", F.col("_id").alias("row_id"), "value")
+    return base.select("_key", "_id", "_trust", revised.alias("_day"), values.alias("_values")), groups
 
 
-def survivors(papers: DataFrame, key: str = "title_and_authors", row_id: str = "id", metadata: str = "metadata", fields: Sequence[str] = FIELDS) -> DataFrame:
-    """One built record a group: group_id and one column a field (null where no row has a usable value)."""
-    return best_values(papers, key, row_id, metadata, fields).groupBy("group_id").pivot("field", list(fields)).agg(F.first("value"))
+def survivors(papers: DataFrame, key: str = "title_and_authors", row_id: str = "id", metadata: str = "metadata", fields: Sequence[str] = FIELDS, trust: Column | None = None) -> DataFrame:
+    """One built record a group: group_id, row_id, n_usable and one column a field (null where no row has a usable value).
+
+    ``row_id`` is the group's best whole row: the most complete one (``n_usable`` fields), then the most
+    trusted, the most recently revised, the latest; the fields are the best values of `best_values`.
+    """
+    base, groups = _groups(papers, key, row_id, metadata, fields, trust)
+    counted = base.select("_key", "_id", "_trust", "_day", F.size(F.filter("_values", lambda x: x["value"].isNotNull())).alias("n_usable"))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("n_usable"), *_best_first()))
+    rows = counted.withColumn("_rank", rank).filter("_rank = 1").join(groups, "_key").select("group_id", F.col("_id").alias("row_id"), "n_usable")
+    built = best_values(papers, key, row_id, metadata, fields, trust).groupBy("group_id").pivot("field", list(fields)).agg(F.first("value"))
+    return rows.join(built, "group_id", "left")

@@ -73,7 +73,10 @@ def test_best_values(spark):
     got = {(r["group_id"], r["field"]): r["row_id"] for r in best_values(df).collect()}
     assert got == {(1, "abstract"): 1, (1, "doi"): 4, (1, "comments"): 3, (10, "doi"): 11, (12, "doi"): 13}
     assert {r["group_id"]: r["doi"] for r in survivors(df).collect()} == {1: "10.1/y", 10: "b", 12: "b"}
-    assert best_values(df.limit(0)).count() == 0
+    assert {r["group_id"]: (r["row_id"], r["n_usable"]) for r in survivors(df).collect()} == {1: (1, 2), 10: (11, 1), 12: (13, 1)}
+    trusted = {(r["group_id"], r["field"]): r["row_id"] for r in best_values(df, trust=F.when(F.col("id").isin(10, 1), 1)).collect()}
+    assert trusted[1, "doi"] == 1 and trusted[10, "doi"] == 10 and trusted[1, "comments"] == 3
+    assert best_values(df.limit(0)).count() == 0 and survivors(df.limit(0)).count() == 0
 
 
 def brute(a, b):
