@@ -80,16 +80,40 @@ def style_decision(
 
 
 def markers(text: Column | str) -> Column:
-    """C11: every bracketed marker with the numbers it stands for, in order; a descending range gives none."""
+    """C11: every bracketed marker with the ranges of numbers it stands for, in order: a number alone is a range of one.
 
-    def expand(token: Column) -> Column:
-        low, high = F.split_part(token, F.lit("-"), F.lit(1)).cast("int"), F.split_part(token, F.lit("-"), F.lit(2))
-        top = F.when(high == "", low).otherwise(high.cast("int"))
-        return F.when(top >= low, F.sequence(low, F.greatest(low, top))).otherwise(F.array().cast("array<int>"))
+    ``low`` and ``high`` are BIGINT, ``at`` is the place of ``low`` among the marker's numbers. A descending
+    range stands for nothing, and so does a number beyond BIGINT. `expand_range` makes the numbers.
+    """
+
+    def limits(token: Column) -> Column:
+        low, high = F.split_part(token, F.lit("-"), F.lit(1)).try_cast("bigint"), F.split_part(token, F.lit("-"), F.lit(2))
+        return F.struct(low.alias("low"), F.when(high == "", low).otherwise(high.try_cast("bigint")).alias("high"))
+
+    def placed(state: Column, r: Column) -> Column:
+        one = F.struct(r["low"], r["high"], state["n"].alias("at"))
+        return F.struct((state["n"] + r["high"] - r["low"] + 1).alias("n"), F.concat(state["done"], F.array(one)).alias("done"))
+
+    def ranges(inner: Column) -> Column:
+        each = F.filter(F.transform(F.regexp_extract_all(inner, F.lit("([0-9]+(?:-[0-9]+)?)"), F.lit(1)), limits), lambda r: r["high"] >= r["low"])
+        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<low:bigint,high:bigint,at:bigint>>").alias("done"))
+        return F.aggregate(each, start, placed, lambda state: state["done"])
 
     inner = F.regexp_extract_all(_col(text), F.lit(MARKER), F.lit(1))
-    numbers = lambda m: F.flatten(F.transform(F.regexp_extract_all(m, F.lit(r"([0-9]{1,9}(?:-[0-9]{1,9})?)"), F.lit(1)), expand))
-    return F.transform(inner, lambda m: F.struct(F.concat(F.lit("["), m, F.lit("]")).alias("marker"), numbers(m).alias("numbers")))
+    return F.transform(inner, lambda m: F.struct(F.concat(F.lit("["), m, F.lit("]")).alias("marker"), ranges(m).alias("ranges")))
+
+
+#: Numbers of a range that are made at a time.
+RANGE_BLOCK = 1 << 16
+
+
+def range_blocks(low: Column, high: Column) -> Column:
+    """The first numbers of the blocks of a range, to be exploded; a block's own numbers come from `block_numbers`."""
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((high - low) / RANGE_BLOCK)), lambda i: low + i * RANGE_BLOCK)
+
+
+def block_numbers(first: Column, high: Column) -> Column:
+    return F.sequence(first, F.least(high, first + RANGE_BLOCK - 1))
 
 
 def reference_tail(text: Column | str, tail_chars: int = TAIL_CHARS) -> Column:
@@ -106,24 +130,33 @@ def reference_tail(text: Column | str, tail_chars: int = TAIL_CHARS) -> Column:
     return F.substring(text, F.when(start > 0, start).otherwise(tail), F.length(text))
 
 
-#: Numbered entries; an entry ends where the next one begins, so a line's own start decides.
-ENTRY_START = r"(?:^|\n)\s*(?:\[\s*(\d{1,6})\s*\]|(\d{1,6})\s*\.)\s*"
-_ARXIV_MENTION = r"\s*arXiv[:\s]\S+\s*"
+#: C10, entries as [n] and as n., each up to where the next one begins; and the looser form where there are none.
+BRACKET_ENTRY = r"(?s)(?:^|\n)\s*\[\s*(\d+)\s*\]\s*(.*?)\s*(?=(?:\n\s*\[\s*\d+\s*\])|(?:\n\s*\d+\s*[\.\)])|$)"
+DOT_ENTRY = r"(?s)(?:^|\n)\s*(\d+)\s*\.\s*(.*?)\s*(?=(?:\n\s*\d+\s*\.)|(?:\n\s*\[\s*\d+\s*\])|$)"
+LOOSE_ENTRY = r"(?s)\[\s*(\d+)\s*\]\s*(.*?)\s*(?=(?:\n\s*\[\s*\d+\s*\])|(?:\n\s*$)|$)"
+ARXIV_MENTION = r"(?i)\s*arXiv[:\s]\S+\s*"
 
 
-def numbered_references(tail: Column | str) -> Column:
-    """Map of number -> entry text of a reference list; the first entry of a number wins, arXiv mentions drop."""
-    text = F.regexp_replace(_col(tail), ENTRY_START, "\u0001$1$2\u0002")
-    parts = F.filter(F.slice(F.split(text, "\u0001"), 2, 1_000_000), lambda p: F.contains(p, F.lit("\u0002")))
-    entries = F.transform(
-        parts,
-        lambda p: F.struct(
-            F.split_part(p, F.lit("\u0002"), F.lit(1)).cast("int").alias("num"),
-            F.trim(F.regexp_replace(F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), _ARXIV_MENTION, " "), r"(?U)\s+", " ")).alias("text"),
-        ),
-    )
-    first = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda o: o["num"] == e["num"]))
-    return F.map_from_entries(first)
+def numbered_entries(tail: Column | str) -> Column:
+    """The entries (num, text) of a reference list in order of precedence: all in brackets, then all with a dot.
+
+    The first of a number counts; `operators.references.references_of` picks it. Where neither form
+    occurs, a looser one is read. Mentions of arXiv drop out of the texts.
+    """
+    tail = _col(tail)
+
+    def entries(pattern: str) -> Column:
+        part = lambda n: F.regexp_extract_all(tail, F.lit(pattern), F.lit(n))
+        return F.zip_with(part(1), part(2), lambda num, text: F.struct(num.alias("num"), text.alias("text")))
+
+    anchored = F.concat(entries(BRACKET_ENTRY), entries(DOT_ENTRY))
+    return F.when(F.size(anchored) > 0, anchored).otherwise(entries(LOOSE_ENTRY))
+
+
+def entry_text(text: Column | str) -> Column:
+    """An entry in one line, without mentions of arXiv."""
+    one_line = F.regexp_replace(F.regexp_replace(_col(text), r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(one_line, ARXIV_MENTION, " "), r"(?U)\s{2,}", " "))
 
 
 def find_year(entry: Column | str) -> Column:

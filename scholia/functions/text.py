@@ -139,7 +139,7 @@ def title_or_default(title: Column | str, display: Column | str) -> Column:
 
 #: An identifier in a URL, and C28: identifiers in a text. The id alone is N20.
 URL_ID = r"arxiv\.org/(?:pdf|abs)/([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?|[A-Za-z\-]+/[0-9]{7}(?:v[0-9]+)?)"
-LABELLED_ID = r"([aA][rR][xX][iI][vV]:\s*[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)"
+LABELLED_ID = r"(?i)(arXiv:\s*[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)"
 LINKED_ID = r"https?://arxiv\.org/abs/([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)"
 PLAIN_ID = r"([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)"
 
@@ -167,7 +167,7 @@ def id_from_path(path: Column | str) -> Column:
 
 def base_id(identifier: Column | str) -> Column:
     """Q10/Q24: an identifier without label, surrounding space and version."""
-    return F.regexp_replace(F.regexp_replace(F.trim(_col(identifier)), r"^[aA][rR][xX][iI][vV]:\s*", ""), r"v[0-9]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(_col(identifier)), r"(?i)^arXiv:\s*", ""), r"v[0-9]+$", "")
 
 
 def parse_date(value: Column | str, fallback: Column | None = None) -> Column:

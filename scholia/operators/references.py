@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.citations import find_year, is_full_entry, markers, numbered_references, reference_tail, short_surnames
-from scholia.functions.names import name_tokens, surname_candidates, token_set, words_with_positions
+from scholia.functions.citations import block_numbers, entry_text, find_year, is_full_entry, markers, numbered_entries, range_blocks, reference_tail, short_surnames
+from scholia.functions.names import given_tokens, is_initial, name_tokens, surname_candidates, token_set, words_with_positions
 from scholia.functions.text import normalize_name, normalize_reference
 
 
 def expand_markers(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """C11: a row a marker and number: (key, marker_pos, marker, num_pos, number); markers without numbers drop out."""
+    """C11: a row a marker and number: (key, marker_pos, marker, num_pos, number); markers without numbers drop out.
+
+    Ranges become rows a block at a time, so a range of any length is no large array.
+    """
     each = texts.select(F.col(key), F.posexplode(markers(text)).alias("marker_pos", "m"))
-    return each.select(key, "marker_pos", F.col("m.marker").alias("marker"), F.posexplode("m.numbers").alias("num_pos", "number"))
+    ranges = each.select(key, "marker_pos", F.col("m.marker").alias("marker"), F.explode("m.ranges").alias("_r"))
+    blocks = ranges.select(key, "marker_pos", "marker", "_r", F.explode(range_blocks(F.col("_r.low"), F.col("_r.high"))).alias("_first"))
+    numbers = blocks.select(key, "marker_pos", "marker", "_r", F.explode(block_numbers(F.col("_first"), F.col("_r.high"))).alias("number"))
+    return numbers.select(key, "marker_pos", "marker", (F.col("_r.at") + F.col("number") - F.col("_r.low")).alias("num_pos"), "number")
 
 
 def numbered_text(number: str, reference: str) -> Column:
@@ -36,12 +43,16 @@ def match_markers(texts: DataFrame, key: str, text: str, references: DataFrame,
     if owner:
         once = once.join(texts.select(key, owner), key)
     kept = [key, *([owner] if owner else []), "marker", "marker_pos", "num_pos", "number"]
-    return once.join(references, [owner or key, "number"], "left").select(*kept, numbered_text("number", "reference").alias("reference"))
+    listed = references.withColumn("number", F.col("number").cast("string"))
+    joined = once.withColumn("_n", F.col("number").cast("string")).join(listed.withColumnRenamed("number", "_n"), [owner or key, "_n"], "left")
+    return joined.select(*kept, numbered_text("number", "reference").alias("reference"))
 
 
 def references_of(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, number, reference) of every document's numbered list."""
-    return documents.select(F.col(key), F.explode(numbered_references(reference_tail(text))).alias("number", "reference"))
+    """(key, number, reference) of every document's numbered list, a number as it's written; its first entry counts."""
+    each = documents.select(F.col(key), F.posexplode(numbered_entries(reference_tail(text))).alias("_pos", "_e"))
+    first = each.groupBy(key, F.col("_e.num").alias("number")).agg(F.min_by("_e.text", "_pos").alias("_t"))
+    return first.select(key, "number", entry_text("_t").alias("reference"))
 
 
 def without_repeats(entries: DataFrame, key: str, entry: str, position: str) -> DataFrame:
@@ -62,60 +73,76 @@ def without_repeats(entries: DataFrame, key: str, entry: str, position: str) ->
     return full.unionByName(short.join(gone, [key, position], "left_anti")).select(*entries.columns)
 
 
+_FOUND = pa.struct(
+    [("author", pa.string()), ("method", pa.string()), ("candidate", pa.string()), ("given", pa.string()), ("positions", pa.list_(pa.int32())), ("score", pa.float64()), ("matched_word", pa.string())]
+)
+
+
 def authors_in_text(texts: DataFrame, key: str, text: str, authors: DataFrame, author: str, threshold: float = 0.92, window: int = 5) -> DataFrame:
-    """(key, author, method) for each author named in a text: 'citation', 'surname', 'fullname' or 'fuzzy'.
+    """(key, author, method, details) for each author named in a text.
 
-    ``authors``: (key, author), the names to look for in each text. A text becomes words once and
-    authors are joined to it, so no pattern is compiled a name.
+    Tried in this order: 'citation' (a family name before "et al"), 'surname', 'fullname' (a given name
+    within ``window`` words of it) and 'fuzzy' (the best ratio of a family name and a word reaches
+    ``threshold``). ``details`` (E22): the candidate that matched, the given name and both positions, or
+    the score and the word. ``authors``: (key, author), the names to look for in each text. The names of
+    a text are brought together first, so a text is read once whatever their number.
     """
-    words = texts.select(F.col(key), F.concat(F.lit(" "), normalize_name(text), F.lit(" ")).alias("_t"))
-    # Words end where a letter or digit does; hyphens and apostrophes end them too.
-    words = words.withColumn("_p", F.regexp_replace("_t", r"[^0-9a-z]+", " "))
-    names = authors.select(F.col(key), F.col(author).alias("author")).distinct().withColumn("_c", F.transform(surname_candidates("author"), lambda c: F.trim(c)))
-    names = names.withColumn("_d", F.transform("_c", lambda c: F.regexp_replace(c, r"[^0-9a-z]+", " ")))
-    pairs = names.join(words, key)
-    said = lambda c, rest: F.contains("_p", F.concat(F.lit(" "), c, F.lit(rest)))
-    exact = F.when(F.exists("_d", lambda c: said(c, " et al ")), "citation").when(F.exists("_d", lambda c: said(c, " ")), "surname")
-    found = pairs.withColumn("method", exact)
-    near = _fuzzy(found.filter("method IS NULL").select(key, "author", "_c", "_t"), key, threshold, window)
-    return found.filter("method IS NOT NULL").select(key, "author", "method").unionByName(near)
-
-
-def _fuzzy(rows: DataFrame, key: str, threshold: float, window: int) -> DataFrame:
-    """Tiers 3 and 4: given name near the family name, then the best ratio of a candidate and a word."""
-
-    @F.arrow_udf("string")
-    def method(candidates: pa.Array, text: pa.Array, given: pa.Array) -> pa.Array:
-        out = []
-        for cands, t, firsts in zip(candidates.to_pylist(), text.to_pylist(), given.to_pylist(), strict=True):
-            words = t.split()
-            place: dict[str, list[int]] = {}
-            for i, w in enumerate(words):
-                place.setdefault(w, []).append(i)
-            if any(abs(i - j) <= window for c in cands for i in place.get(c, ()) for g in firsts or () for j in place.get(g, ())):
-                out.append("fullname")
+    given = given_tokens("author", F.lower(F.try_element_at(F.filter(name_tokens("author"), lambda t: ~is_initial(t)), F.lit(-1))))
+    names = authors.select(F.col(key), F.col(author).alias("author")).distinct()
+    names = names.withColumns({"_c": F.filter(F.transform(surname_candidates("author"), F.trim), lambda c: c != ""), "_g": given})
+    listed = names.groupBy(key).agg(F.collect_list(F.struct("author", "_c", "_g")).alias("_names"))
+    asked = texts.select(F.col(key), normalize_name(text).alias("_t")).join(listed, key)
+
+    @F.arrow_udf("array<struct<author:string,method:string,candidate:string,given:string,positions:array<int>,score:double,matched_word:string>>")
+    def find(column: pa.Array, lists: pa.Array) -> pa.Array:
+        return pa.array([_named_in(t, people, threshold, window) for t, people in zip(column.to_pylist(), lists.to_pylist(), strict=True)], pa.list_(_FOUND))
+
+    found = asked.select(key, F.explode(find("_t", "_names")).alias("_f"))
+    return found.select(key, "_f.author", "_f.method", F.struct(*(F.col(f"_f.{n}") for n in ("candidate", "given", "positions", "score", "matched_word"))).alias("details"))
+
+
+def _named_in(text: str, people: list[dict], threshold: float, window: int) -> list[dict]:
+    # Words end where a letter or digit does; hyphens and apostrophes end them too, and are words' own signs elsewhere.
+    plain = f" {_BETWEEN.sub(' ', text)} "
+    place: dict[str, list[int]] = {}
+    for i, w in enumerate(_WORDS.findall(text)):
+        place.setdefault(w, []).append(i)
+    out = []
+    for p in people:
+        hit = _tier(p["_c"], p["_g"] or (), plain, place, threshold, window)
+        if hit:
+            out.append({"author": p["author"]} | hit)
+    return out
+
+
+_BETWEEN, _WORDS = re.compile("[^0-9a-z]+"), re.compile(r"[0-9a-zA-Z'\-]+")
+
+
+def _tier(candidates, given, plain: str, place: dict[str, list[int]], threshold: float, window: int) -> dict | None:
+    bare = [(c, f" {_BETWEEN.sub(' ', c)} ") for c in candidates]
+    for method, rest in (("citation", "et al "), ("surname", "")):
+        for c, word in bare:
+            if word.strip() and word + rest in plain:
+                return {"method": method, "candidate": c}
+    for c in candidates:
+        for g in given:
+            for i in place.get(c, ()):
+                near = next((j for j in place.get(g, ()) if abs(i - j) <= window), None)
+                if near is not None:
+                    return {"method": "fullname", "candidate": c, "given": g, "positions": [near, i]}
+    best, matcher = (0.0, None, None), difflib.SequenceMatcher(None, "", "")
+    for c in candidates:
+        for w in place:
+            # The ratio is at most 2*min/(sum of lengths): most words need no comparison.
+            if min(len(w), len(c)) < 3 or 2 * min(len(w), len(c)) < threshold * (len(w) + len(c)):
+                continue
+            # Both ends unlike cost two characters at least, which short words can't afford.
+            if threshold > 0.9 and c[0] != w[0] and c[-1] != w[-1] and max(len(w), len(c)) < 12:
                 continue
-            hit = False
-            for c in cands:
-                matcher = difflib.SequenceMatcher(None, "", "")
-                for w in place:
-                    # The ratio is at most 2*min/(sum of lengths): most words need no comparison.
-                    if min(len(w), len(c)) < 3 or 2 * min(len(w), len(c)) < threshold * (len(w) + len(c)):
-                        continue
-                    # Both ends unlike cost two characters at least, which short words can't afford.
-                    if threshold > 0.9 and c[0] != w[0] and c[-1] != w[-1] and max(len(w), len(c)) < 12:
-                        continue
-                    matcher.set_seqs(c, w)
-                    if matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
-                        hit = True
-                        break
-                if hit:
-                    break
-            out.append("fuzzy" if hit else None)
-        return pa.array(out, pa.string())
-
-    given = F.transform(name_tokens("author"), F.lower)
-    return rows.withColumn("method", method("_c", "_t", given)).filter("method IS NOT NULL").select(key, "author", "method")
+            matcher.set_seqs(c, w)
+            if matcher.quick_ratio() >= threshold and (score := matcher.ratio()) > best[0]:
+                best = (score, c, w)
+    return {"method": "fuzzy", "candidate": best[1], "score": best[0], "matched_word": best[2]} if best[0] >= threshold else None
 
 
 def cite_by_marker(markers_: DataFrame, resolved: DataFrame, key: str) -> DataFrame:

@@ -78,9 +78,15 @@ def new_papers_and_chunks(papers: DataFrame, chunks: DataFrame, stored_papers: D
     return fresh, not_stored(of_fresh, stored_chunks, "checksum")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The stored rows with those of ``incoming`` in place of rows of equal uuid (version 5, from ``key``)."""
-    new = incoming.withColumn("uuid", uuid5(key)).dropDuplicates(["uuid"])
+def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """The stored rows with those of ``incoming`` in place of rows of equal uuid (version 5, from ``key``).
+
+    Of incoming rows with one uuid the last counts, by ``order`` or else as they come.
+    """
+    place = F.monotonically_increasing_id() if order is None else order
+    marked = incoming.withColumns({"uuid": uuid5(key), "_o": place})
+    last = marked.groupBy("uuid").agg(F.max_by(F.struct(*(c for c in incoming.columns if c != "uuid")), "_o").alias("_r"))
+    new = last.select("uuid", *(F.col("_r")[c].alias(c) for c in incoming.columns if c != "uuid"))
     return stored.join(new.select("uuid"), "uuid", "left_anti").unionByName(new.select(*stored.columns))
 
 

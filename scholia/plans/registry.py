@@ -56,7 +56,7 @@ def reference_norm_checksum_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""SELECT id, nullif(regexp_extract(arxiv_id, '([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)', 1), '') AS clean,
-    regexp_replace(regexp_replace(trim(arxiv_id), '^[aA][rR][xX][iI][vV]:\s*', ''), 'v[0-9]+$', '') AS base,
+    regexp_replace(regexp_replace(trim(arxiv_id), '(?i)^arXiv:\s*', ''), 'v[0-9]+$', '') AS base,
     nullif(regexp_extract(replace(arxiv_id, 'preprints.example', 'arxiv.org'), 'arxiv\.org/(?:pdf|abs)/([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?|[A-Za-z\-]+/[0-9]{7}(?:v[0-9]+)?)', 1), '') AS in_url
     FROM papers"""
 )
@@ -67,7 +67,7 @@ def clean_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' arXiv: ' || arxiv_id || ' and https://arxiv.org/abs/' || arxiv_id || ' arXiv:' || arxiv_id || 'v2' AS t FROM documents WHERE arxiv_id IS NOT NULL),
-    r AS (SELECT doc_id, list_distinct(list_concat(regexp_extract_all(t, '([aA][rR][xX][iI][vV]:\s*[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)', 1), regexp_extract_all(t, 'https?://arxiv\.org/abs/([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)', 1))) AS r FROM t)
+    r AS (SELECT doc_id, list_distinct(list_concat(regexp_extract_all(t, '(?i)(arXiv:\s*[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)', 1), regexp_extract_all(t, 'https?://arxiv\.org/abs/([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)', 1))) AS r FROM t)
     SELECT doc_id, unnest(r) AS ref FROM r"""
 )
 def ids_in_text(spark: SparkSession, d: str) -> DataFrame:
@@ -308,8 +308,8 @@ def citation_style_decision(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""WITH m AS (SELECT chunk_seq, unnest(regexp_extract_all(chunk_text, '\[([^\]]+)\]', 1)) AS m, generate_subscripts(regexp_extract_all(chunk_text, '\[([^\]]+)\]', 1), 1) - 1 AS pos FROM chunks),
-    t AS (SELECT chunk_seq, pos, unnest(regexp_extract_all(m, '([0-9]{1,9}(?:-[0-9]{1,9})?)', 1)) AS t FROM m),
-    r AS (SELECT chunk_seq, pos, split_part(t, '-', 1)::INT AS lo, coalesce(nullif(split_part(t, '-', 2), '')::INT, split_part(t, '-', 1)::INT) AS hi FROM t)
+    t AS (SELECT chunk_seq, pos, unnest(regexp_extract_all(m, '([0-9]+(?:-[0-9]+)?)', 1)) AS t FROM m),
+    r AS (SELECT chunk_seq, pos, try_cast(split_part(t, '-', 1) AS BIGINT) AS lo, CASE WHEN split_part(t, '-', 2) = '' THEN try_cast(split_part(t, '-', 1) AS BIGINT) ELSE try_cast(split_part(t, '-', 2) AS BIGINT) END AS hi FROM t)
     SELECT chunk_seq, pos::BIGINT AS marker_pos, unnest(range(lo, hi + 1))::BIGINT AS number FROM r WHERE hi >= lo"""
 )
 def marker_expand(spark: SparkSession, d: str) -> DataFrame:
@@ -321,9 +321,9 @@ def marker_expand(spark: SparkSession, d: str) -> DataFrame:
     r"""WITH refs AS (SELECT c.chunk_seq, row_number() OVER (PARTITION BY c.chunk_seq ORDER BY c.citation_id) AS number, c.title FROM citations c),
     m AS (SELECT chunk_seq, unnest(regexp_extract_all(chunk_text, '\[([^\]]+)\]', 1)) AS m, generate_subscripts(regexp_extract_all(chunk_text, '\[([^\]]+)\]', 1), 1) - 1 AS pos FROM chunks),
     f AS (SELECT chunk_seq, m, min(pos) AS pos FROM m GROUP BY 1, 2),
-    t AS (SELECT chunk_seq, m, pos, unnest(regexp_extract_all(m, '([0-9]{1,9}(?:-[0-9]{1,9})?)', 1)) AS t FROM f),
-    r AS (SELECT chunk_seq, m, split_part(t, '-', 1)::INT AS lo, coalesce(nullif(split_part(t, '-', 2), '')::INT, split_part(t, '-', 1)::INT) AS hi FROM t),
-    n AS (SELECT chunk_seq, m, unnest(range(lo, hi + 1))::INT AS number FROM r WHERE hi >= lo)
+    t AS (SELECT chunk_seq, m, pos, unnest(regexp_extract_all(m, '([0-9]+(?:-[0-9]+)?)', 1)) AS t FROM f),
+    r AS (SELECT chunk_seq, m, try_cast(split_part(t, '-', 1) AS BIGINT) AS lo, CASE WHEN split_part(t, '-', 2) = '' THEN try_cast(split_part(t, '-', 1) AS BIGINT) ELSE try_cast(split_part(t, '-', 2) AS BIGINT) END AS hi FROM t),
+    n AS (SELECT chunk_seq, m, unnest(range(lo, hi + 1)) AS number FROM r WHERE hi >= lo)
     SELECT n.chunk_seq, '[' || m || ']' AS marker, n.number::BIGINT AS number, '[' || n.number || '] ' || coalesce(refs.title, 'Reference not found') AS reference FROM n LEFT JOIN refs ON refs.chunk_seq = n.chunk_seq AND refs.number = n.number"""
 )
 def marker_resolve(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import clean_section
 
-REFERENCE = "struct<id:int,raw:string,title:string,year:string,doi:string,venue:string,authors_teiled:array<string>,authors_raw_str:string>"
+REFERENCE = "struct<id:int,raw:string,xml:string,title:string,year:string,doi:string,venue:string,authors_teiled:array<string>,authors_raw_str:string,authors_raw_list:array<string>>"
 SECTION = "struct<section_title:string,section_text:string>"
 #: services' endpoints, and the containers a bibliography may be in, in order of preference.
 FULL_TEXT, REFERENCES_ONLY, ONE_CITATION = "/api/processFulltextDocument", "/api/processReferences", "/api/processCitationList"
@@ -72,7 +72,7 @@ def sections(tei: str | bytes) -> list[dict]:
 
 def persons(item) -> list[dict]:
     """Forename, surname and raw text of every person named in an item."""
-    return [{"forename": _text(_first(p, "forename")), "surname": _text(_first(p, "surname")), "raw": _text(p, " ")} for p in _all(item, "persName")]
+    return [{"forename": _text(p.find("forename")), "surname": _text(p.find("surname")), "raw": _text(p)} for p in _all(item, "persName")]
 
 
 def names(people: list[dict]) -> list[str]:
@@ -81,29 +81,83 @@ def names(people: list[dict]) -> list[str]:
     return [n for n in shown if n]
 
 
+#: What stands before the year of an entry, and what parts its names.
+_BEFORE_YEAR = re.compile(r"^(.+?)(?:\.\s*(?:19|20)\d{2}|\s*\((?:19|20)\d{2}\))")
+_NAME_SPLIT = re.compile(r"\s+and\s+|;\s*|(?<=\w),\s+(?=[A-Z][a-z])")
+
+
+def _raw_authors(raw: str) -> str | None:
+    """The names before the year, else a first sentence of two to eight words."""
+    if found := _BEFORE_YEAR.match(raw):
+        return found[1].strip()
+    sentence = raw.split(".", 1)[0].strip()
+    return sentence if 2 <= len(sentence.split()) <= 8 else None
+
+
+def _entries(root) -> list:
+    """The items of the reference lists: those of a division of references if there is one; an empty list is an item."""
+    lists = [e for d in _all(root, "div") if d.get("type") == "references" for e in _all(d, "listBibl")] or _all(root, "listBibl")
+    return [item for one in dict.fromkeys(lists) for item in (list(one) or [one])]
+
+
 def references(tei: str | bytes) -> list[dict]:
-    """C20: the references of a document, numbered from 1."""
+    """C20: the references of a document's lists, numbered from 1; the document's own record is none of them."""
     out = []
-    for number, item in enumerate(_all(parse(tei), "biblStruct"), 1):
-        analytic, monograph = _first(item, "analytic"), _first(item, "monogr")
-        title = _text(_first(analytic, "title")) if analytic is not None else ""
-        venue = _text(_first(monograph, "title")) if monograph is not None else ""
-        if not title:
-            title, venue = venue, "" if analytic is None else venue
-        when = _first(item, "date")
-        year = (when.get("when") or _text(when)) if when is not None else ""
-        ids = [(e.get("type") or "", _text(e)) for e in _all(item, "idno")]
-        doi = next((v for t, v in ids if "doi" in t.lower()), None) or next((v for t, v in ids if re.search(r"arxiv|corr", f"{t} {v}", re.I)), None)
-        raw_note = next((n for n in _all(item, "note") if n.get("type") == "raw_reference"), None)
-        raw = _text(raw_note) or _text(item, " ")
-        block = re.match(r"^(.+?)(?:\.\s*(?:19|20)\d{2}|\s*\((?:19|20)\d{2}\))", raw)
+    for number, item in enumerate(_entries(parse(tei)), 1):
+        note = next((n for n in _all(item, "note") if n.get("type") == "raw_reference"), None)
+        raw = _text(item if note is None else note)
+        title, when, venue = _first(item, "title"), _first(item, "date"), next((t for m in _all(item, "monogr") if (t := m.find("title")) is not None), None)
+        ids = [((e.get("type") or "").lower(), _text(e)) for e in _all(item, "idno")]
+        labelled = next((v for kind, v in ids if "doi" in kind), None)
+        likely = next((v for _, v in ids if "abs/" in v or re.search("arxiv|corr", v, re.I)), None)
+        said = _raw_authors(raw)
+        listed = [n for part in _NAME_SPLIT.split(said or "") if (n := part.strip().rstrip(","))]
         out.append({
-            "id": number, "raw": raw, "title": title or None, "year": year or None, "doi": doi, "venue": venue or (ids[0][1] if ids else None),
-            "authors_teiled": names(persons(item)), "authors_raw_str": block[1].strip() if block else None,
+            "id": number, "raw": raw, "xml": ElementTree.tostring(item, encoding="unicode"), "title": None if title is None else _text(title),
+            "year": None if when is None else when.get("when") or _text(when), "doi": likely if labelled is None else labelled,
+            "venue": next((v for _, v in ids if v), None) if venue is None else _text(venue),
+            "authors_teiled": names(persons(item)) or listed, "authors_raw_str": said, "authors_raw_list": listed,
         })
     return out
 
 
+#: Elements of given and family names in the answer to a single citation.
+_GIVEN, _FAMILY = ("forename", "initial", "forenameInitial", "given"), ("surname", "family")
+
+
+def _own(element) -> str:
+    return (element.text or "").strip()
+
+
+def _person(element) -> str:
+    """The name parts of a person in order, else the person's own text."""
+    parts = [t for e in element if e.tag in _GIVEN + _FAMILY and (t := _own(e))]
+    return " ".join(parts) or _own(element)
+
+
+def _author(element) -> str:
+    """The name of an author without a person inside: given names before the family name, else whatever text there is."""
+    if (inner := element.find("persName")) is not None:
+        return _person(inner)
+    given = [t for e in element if e.tag in _GIVEN if (t := _own(e))]
+    family = [t for e in element if e.tag in _FAMILY if (t := _own(e))]
+    return " ".join(given + family[-1:]) or "".join(e.text or "" for e in element).strip() or _own(element)
+
+
+def citation(tei: str | bytes) -> list[dict]:
+    """Title and authors of every item in the answer to a single citation; none if it can't be parsed."""
+    try:
+        root = parse(tei)
+    except ElementTree.ParseError:
+        return []
+    out = []
+    for item in _all(root, "biblStruct"):
+        title = next((t for e in _all(item, "title") if (t := _own(e))), "")
+        people = [n for p in _all(item, "persName") if (n := _person(p))] or [n for a in _all(item, "author") if (n := _author(a))]
+        out.append({"title": title, "authors_teiled": list(dict.fromkeys(people))})
+    return out
+
+
 def bibliography(tei: str | bytes) -> list[str]:
     """The distinct entries of the first container that has any, in order."""
     root = parse(tei)
@@ -133,7 +187,7 @@ def _parsed(kind: str, parse_one: Callable[[str], list]):
     return run
 
 
-_REF_ARROW = pa.struct([("id", pa.int32()), *((n, pa.string()) for n in ("raw", "title", "year", "doi", "venue")), ("authors_teiled", pa.list_(pa.string())), ("authors_raw_str", pa.string())])
+_REF_ARROW = pa.struct([("id", pa.int32()), *((n, pa.string()) for n in ("raw", "xml", "title", "year", "doi", "venue")), ("authors_teiled", pa.list_(pa.string())), ("authors_raw_str", pa.string()), ("authors_raw_list", pa.list_(pa.string()))])
 _SEC_ARROW = pa.struct([("section_title", pa.string()), ("section_text", pa.string())])
 _ARROW = {k: pa.struct([("items", pa.list_(t)), ("error", pa.string())]) for k, t in ((REFERENCE, _REF_ARROW), (SECTION, _SEC_ARROW), ("string", pa.string()))}
 
@@ -184,3 +238,33 @@ def with_tei(files: DataFrame, call: Callable[[str, bytes, dict], tuple[int, byt
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(teis, pa.string()), pa.array(errors, pa.string())], ["path", "tei", "error"])
 
     return files.select("path", "content").mapInArrow(run, "path string, tei string, error string")
+
+
+_CITATION = "original_citation string, title string, authors_teiled array<string>, error string"
+
+
+def citation_table(citations: DataFrame, text: str, call: Callable[[str, str, dict], tuple[int, bytes]]) -> DataFrame:
+    """(original_citation, title, authors_teiled, error): each distinct citation string, parsed by the service.
+
+    One call a distinct string. A call that fails, or an answer without an item, is a row with an error,
+    an empty title and no authors. Nulls drop out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for asked in batch.column(0).to_pylist():
+                found, error = [], "no item in the answer"
+                try:
+                    status, body = call(ONE_CITATION, asked, {"citations": asked})
+                    if status == 200:
+                        found = citation(body)
+                    else:
+                        error = f"status {status}"
+                except Exception as e:  # one failed call must not end the job
+                    error = f"{type(e).__name__}: {e}"
+                rows += [{"original_citation": asked, "error": None} | f for f in found] or [{"original_citation": asked, "title": "", "authors_teiled": [], "error": error}]
+            kind = pa.schema([("original_citation", pa.string()), ("title", pa.string()), ("authors_teiled", pa.list_(pa.string())), ("error", pa.string())])
+            yield from pa.Table.from_pylist(rows, kind).to_batches()
+
+    return citations.select(text).filter(F.col(text).isNotNull()).distinct().mapInArrow(run, _CITATION)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scholia.functions import citations as C
 from scholia.functions import names as N
 from scholia.functions import text as X
+from scholia.operators.references import references_of
 
 
 def value(spark, column, **cells):
@@ -60,7 +61,9 @@ def test_parse_date(spark):
 
 @pytest.mark.parametrize("raw, want", [("[5,6]", [("[5,6]", [5, 6])]), ("[4,[7][8]", [("[4,[7]", [4, 7]), ("[8]", [8])]), ("[1-3] [3-1] [abc]", [("[1-3]", [1, 2, 3]), ("[3-1]", []), ("[abc]", [])]), ("[1–3]", [("[1–3]", [1, 3])]), ("none", [])])
 def test_markers(spark, raw, want):
-    assert [(m["marker"], m["numbers"]) for m in value(spark, C.markers("c"), c=raw)] == want
+    found = value(spark, C.markers("c"), c=raw)
+    assert [(m["marker"], [n for r in m["ranges"] for n in range(r["low"], r["high"] + 1)]) for m in found] == want
+    assert all([r["at"] for r in m["ranges"]] == [sum(s["high"] - s["low"] + 1 for s in m["ranges"][:k]) for k in range(len(m["ranges"]))] for m in found)
 
 
 @pytest.mark.parametrize("entry, want", [("[3] Some title", "numeric"), ("12. Title", "numeric"), ("Smith and Doe. Title. 2004", "author_year"), ("x et al. 1999", "author_year"), ("no year here", "ambiguous")])
@@ -93,7 +96,12 @@ def test_reference_lists(spark):
     text = "See [1].\nReferences\nold\nREFERENCES\n[1] A. Title arXiv:2001.00001 end.\n[2] B.\n second line\n3. C third\n[1] repeated"
     tail = value(spark, C.reference_tail("c"), c=text)
     assert tail.startswith("REFERENCES\n[1]")
-    assert value(spark, C.numbered_references("c"), c=tail) == {1: "A. Title end.", 2: "B. second line", 3: "C third"}
+    docs = spark.createDataFrame([("d", text), ("mixed", "References\n1. dot first\n[1] bracket first\n2. x arxiv:1 y"), ("loose", "References: see [7] Seven\n\n[8] Eight"), ("none", "nothing"), ("null", None)], "k string, t string")
+    got = {}
+    for r in references_of(docs, "k", "t").collect():
+        got.setdefault(r["k"], {})[r["number"]] = r["reference"]
+    assert got["d"] == {"1": "A. Title end.", "2": "B. second line", "3": "C third"} and got["mixed"] == {"1": "bracket first", "2": "x y"}
+    assert set(got) == {"d", "mixed", "loose"} and got["loose"]["8"] == "Eight"
     assert len(value(spark, C.reference_tail("c", 10), c="x" * 50)) == 10
 
 
@@ -112,3 +120,8 @@ def test_name_functions(spark):
     assert value(spark, N.literal_list("c"), c='{"Doe, A",B}') == ["Doe, A", "B"]
     assert value(spark, N.surname_candidates("c"), c="D. Bahdanau Kim J.") == ["kim", "bahdanau", "j", "kim j"]
     assert difflib.SequenceMatcher(None, "bahdanau", "bahdanu").ratio() > 0.92
+
+
+def test_identifiers_in_any_case(spark):
+    found = value(spark, X.references_in_text("c"), c="see ARXIV: 2101.12345V2 and arXiv:2101.1234")
+    assert found == ["ARXIV: 2101.12345V2", "arXiv:2101.1234"] and value(spark, X.base_id("c"), c="ARXIV:2101.12345v2") == "2101.12345"

@@ -105,6 +105,10 @@ def test_markers_and_missing_references(spark):
     refs = spark.createDataFrame([(1, 1, "A"), (1, 2, "B")], "k long, number int, reference string")
     got = rows(references.match_markers(texts, "k", "t", refs).select("k", "marker", "number", "reference"))
     assert got == [(1, "[1,2]", 1, "[1] A"), (1, "[1,2]", 2, "[2] B"), (1, "[9]", 9, "[9] Reference not found")]
+    wide = spark.createDataFrame([(1, "[1-200000] [12345678901] [5,2-3]"), (2, "[99999999999999999999]")], "k long, t string")
+    found = references.expand_markers(wide, "k", "t")
+    assert found.count() == 200_004 and rows(found.filter("marker_pos = 2").select("num_pos", "number")) == [(0, 5), (1, 2), (2, 3)]
+    assert rows(found.filter("marker_pos = 1").select("number")) == [(12345678901,)]
 
 
 def test_authors_in_text(spark):
@@ -114,6 +118,8 @@ def test_authors_in_text(spark):
     authors = spark.createDataFrame([(1, n) for n in names], "k long, a string")
     got = dict(rows(references.authors_in_text(texts, "k", "t", authors, "a").select("author", "method")))
     assert got == {"Minh-Thang Luong": "citation", "Christopher D. Manning": "surname", "Nal Kalchbrenner": "fuzzy", "Ilya Sutskever": "surname"}
+    detail = {r["author"]: r["details"] for r in references.authors_in_text(texts, "k", "t", authors, "a").collect()}
+    assert detail["Nal Kalchbrenner"]["matched_word"] == "kalchbrener" and detail["Nal Kalchbrenner"]["score"] > 0.92 and detail["Minh-Thang Luong"]["candidate"] == "luong"
 
 
 def py_fold(sections, threshold, count):

@@ -158,3 +158,29 @@ def test_tool_loop(spark):
     assert agent.run_loop(lambda m: {"tool": "find"}, {}, "q", steps=2).startswith("Error") and agent.run_loop(None, {}, " ") == agent.NO_ANSWER
     agent.register_functions(spark)
     assert spark.sql("SELECT scholia_ascii('Zoë') AS a").first()["a"] == "Zoe"
+
+
+HEADED = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><biblStruct><analytic><title>The paper itself</title></analytic></biblStruct></teiHeader><text><back>
+<listBibl><biblStruct><analytic><title>Elsewhere</title></analytic></biblStruct></listBibl><div type="references"><listBibl>
+<biblStruct><monogr><title>A Book</title><imprint><date>1999</date></imprint></monogr><idno type="arXiv">arXiv:1901.00001</idno></biblStruct>
+<bibl>Ann Doe and Bob Roe. 2003. Title here.</bibl>
+<biblStruct><analytic><title>T</title><author><persName><forename>C</forename><surname>Poe</surname></persName></author></analytic><monogr><title>V</title></monogr><idno>x/abs/1</idno><idno type="DOI">10.1/y</idno><note type="raw_reference">Poe, C. (2001) T</note></biblStruct>
+</listBibl></div></back></text></TEI>"""
+
+
+def test_references_leave_out_the_paper_itself():
+    first, second, third = tei.references(HEADED)
+    assert (first["id"], first["title"], first["venue"], first["year"], first["doi"], first["authors_teiled"]) == (1, "A Book", "A Book", "1999", "arXiv:1901.00001", ["A Book1999arXiv:1901"])
+    assert second["authors_raw_list"] == second["authors_teiled"] == ["Ann Doe", "Bob Roe"] and second["title"] is None and second["authors_raw_str"] == "Ann Doe and Bob Roe"
+    assert (third["authors_teiled"], third["doi"], third["venue"], third["raw"], third["authors_raw_str"]) == (["C Poe"], "10.1/y", "V", "Poe, C. (2001) T", "Poe, C.") and "biblStruct" in third["xml"]
+
+
+def test_single_citations(spark):
+    def call(endpoint, text, params):
+        if "down" in text:
+            raise OSError("no route")
+        return (200, b"<TEI><biblStruct><title>T</title><author><persName><forename>A</forename><surname>B</surname></persName></author></biblStruct></TEI>") if text == "[1] good" else (200, b"<x") if text == "odd" else (500, b"")
+
+    df = spark.createDataFrame([("[1] good",), ("[1] good",), ("down",), ("odd",), ("[2] bad",), (None,)], "c string")
+    got = {r["original_citation"]: (r["title"], r["authors_teiled"], r["error"]) for r in tei.citation_table(df, "c", call).collect()}
+    assert got == {"[1] good": ("T", ["A B"], None), "down": ("", [], "OSError: no route"), "odd": ("", [], "no item in the answer"), "[2] bad": ("", [], "status 500")}
