@@ -1,11 +1,14 @@
 import json
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.llm.batch_dedup import arxiv_key, banded_distance, repeated_keys, repeated_texts
+from scholia.llm import suffix_index
+from scholia.llm.batch_dedup import TextHistory, arxiv_key, banded_distance, repeated_keys, repeated_texts
+from scholia.llm.suffix_index import Files
 from scholia.llm.format_duplicates import canonical_record, collapse_format_duplicates
 from scholia.llm.survivors import best_values, survivors
 
@@ -140,6 +143,34 @@ def test_repeated_texts_against_brute_force(spark):
     assert got == want and 10 < len(want) < len(rows)
 
 
+def test_a_later_run_opens_the_index(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    old = [(k, 0, text()) for k in range(1, 601)] + [(2000, 1, text())]
+    near = old[3][2].split()
+    near[30] = "other"
+    new = [(3000, 2, " ".join(near)), (3001, 2, old[9][2].upper()), (3002, 2, text()), (3003, 2, old[-1][2]), (1500, 2, old[-1][2] + " end"), (3004, 2, None)]
+    schema, path = "key long, batch int, text string", f"file://{tmp_path}/index"
+    first = repeated_texts(spark.createDataFrame(old, schema), "key", "batch", "text", history=TextHistory(spark, path))
+    assert first.count() == 0
+    again = TextHistory(spark, path)
+    assert again.index.loads == 2 and sum(s["rows"]["digest"] for s in again.index.segments) == 601
+    got = {r["key"] for r in repeated_texts(spark.createDataFrame(new, schema), "key", "batch", "text", history=again).collect()}
+    assert got == {3000, 3001, 3003, 2000}  # 2000 is older, but 1500 has the smaller key
+    # Remote files are read by ranges: the pages that a few fingerprints lead to.
+    segment = max(again.index.segments, key=lambda s: s["rows"]["suffix"])
+    ranged, mapped = Files(path, ranged=True), Files(path)
+    monkeypatch.setattr(suffix_index, "PAGE", 64)
+    rows = np.sort(np.random.default_rng(1).choice(np.asarray(mapped.array(f"{segment['id']}/suffix-0-0", "h")), 5))
+    ranged.write("probe", {"h": mapped.array(f"{segment['id']}/suffix-0-0", "h"), "fence": mapped.array(f"{segment['id']}/suffix-0-0", "h")[::64]})
+    assert all((a == b).all() for a, b in zip(ranged.spans("probe", rows), mapped.spans(f"{segment['id']}/suffix-0-0", rows), strict=True))
+    assert ranged.bytes_read < 8 * len(mapped.array("probe", "h")) / 5
+    os.remove(f"{tmp_path}/index/{segment['id']}/suffix-0-0.h")
+    with pytest.raises(Exception, match="suffix-0-0"):
+        repeated_texts(spark.createDataFrame([(9000, 3, text())], schema), "key", "batch", "text", history=TextHistory(spark, path)).collect()
+
+
 def test_repeated_texts_of_few_rows(spark):
     schema = "key long, batch int, text string"
     assert repeated_texts(spark.createDataFrame([], schema), "key", "batch", "text").count() == 0
