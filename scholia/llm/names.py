@@ -39,6 +39,8 @@ for _full, _shorts in SHORT_FORMS.items():
     for _s in _shorts.split():
         _FORMAL[_s] = (*_FORMAL.get(_s, ()), _full)
 _KEEP = re.compile(r"[^a-z0-9\s]")
+#: Further forms that a spelling and its near namesake each need to count as two authors.
+FORMS = 2
 
 
 def normalize(text: str) -> str:
@@ -426,9 +428,10 @@ def variant_pairs(names: DataFrame, column: str = "name") -> DataFrame:
     asked = entries.filter("NOT stored").select("entry", F.col("name").alias("b"))
     candidates = stored.join(asked, "entry").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = materialize(candidates.mapInArrow(_verify, "a string, b string, typed boolean, initials boolean"), "links")
-    # A typing error is a stray; a name with further forms of its own is somebody else's, however near.
+    # A typing error is a stray; a name with several further forms of its own is somebody else's, however near.
     exact = found.filter("NOT typed AND NOT initials")
-    settled = exact.select(F.col("a").alias("n")).unionByName(exact.select(F.col("b").alias("n"))).distinct()
+    ends = exact.select(F.col("a").alias("n")).unionByName(exact.select(F.col("b").alias("n")))
+    settled = ends.groupBy("n").count().filter(F.col("count") >= FORMS).select("n")
     doubt = found.filter("typed").select("a", "b")
     twins = doubt.join(settled.withColumnRenamed("n", "a"), "a", "left_semi").join(settled.withColumnRenamed("n", "b"), "b", "left_semi")
     links = materialize(found.join(twins, ["a", "b"], "left_anti").select("a", "b", (~F.col("initials")).alias("strong")), "settled")
