@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholia.functions.text import once
+
 #: The citation patterns, written so that RE2 reads them alike.
 _SPAN = r"\s*\d+(?:\s*(?:,|;|:|\-|–|—)\s*\d+)*(?:\s*(?:\-|–|—)\s*\d+)?\s*"
 BRACKETED = rf"\[{_SPAN}\]"
@@ -118,16 +120,19 @@ def block_numbers(first: Column, high: Column) -> Column:
 
 def reference_tail(text: Column | str, tail_chars: int = TAIL_CHARS) -> Column:
     """From the last heading of a reference list to the end, else the last ``tail_chars`` characters."""
-    text = _col(text)
-    backwards = F.reverse(F.lower(text))
 
-    def begin(heading: str) -> Column:
-        p = F.locate(heading[::-1], backwards)
-        return F.when(p == 0, 0).otherwise(F.length(text) - p - len(heading) + 2)
+    def cut(both: Column) -> Column:
+        text, backwards = both["text"], both["back"]
+
+        def begin(heading: str) -> Column:
+            p = F.position(F.lit(heading[::-1]), backwards)
+            return F.when(p == 0, 0).otherwise(F.length(text) - p - len(heading) + 2)
+
+        start = F.greatest(*(begin(h) for h in HEADINGS))
+        tail = F.greatest(F.lit(1), F.length(text) - tail_chars + 1)
+        return once(start, lambda s: F.substring(text, F.when(s > 0, s).otherwise(tail), F.length(text)))
 
-    start = F.greatest(*(begin(h) for h in HEADINGS))
-    tail = F.greatest(F.lit(1), F.length(text) - tail_chars + 1)
-    return F.substring(text, F.when(start > 0, start).otherwise(tail), F.length(text))
+    return once(_col(text), lambda t: once(F.struct(t.alias("text"), F.reverse(F.lower(t)).alias("back")), cut))
 
 
 #: C10, entries as [n] and as n., each up to where the next one begins; and the looser form where there are none.
@@ -143,14 +148,15 @@ def numbered_entries(tail: Column | str) -> Column:
     The first of a number counts; `operators.references.references_of` picks it. Where neither form
     occurs, a looser one is read. Mentions of arXiv drop out of the texts.
     """
-    tail = _col(tail)
 
-    def entries(pattern: str) -> Column:
-        part = lambda n: F.regexp_extract_all(tail, F.lit(pattern), F.lit(n))
-        return F.zip_with(part(1), part(2), lambda num, text: F.struct(num.alias("num"), text.alias("text")))
+    def entries(text: Column, pattern: str) -> Column:
+        begin = r"^\s*(?:\[\s*\d+\s*\]|\d+\s*\.)\s*"
+        part = lambda m: F.struct(F.regexp_extract(m, r"(\d+)", 1).alias("num"), F.regexp_replace(m, begin, "").alias("text"))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), part)
 
-    anchored = F.concat(entries(BRACKET_ENTRY), entries(DOT_ENTRY))
-    return F.when(F.size(anchored) > 0, anchored).otherwise(entries(LOOSE_ENTRY))
+    # Each stage is bound to a variable, so that the tail and the entries are made once.
+    anchored = once(_col(tail), lambda t: F.struct(t.alias("tail"), F.concat(entries(t, BRACKET_ENTRY), entries(t, DOT_ENTRY)).alias("found")))
+    return once(anchored, lambda a: F.when(F.size(a["found"]) > 0, a["found"]).otherwise(entries(a["tail"], LOOSE_ENTRY)))
 
 
 def entry_text(text: Column | str) -> Column:

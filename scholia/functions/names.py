@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholia.functions.text import once
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -50,11 +52,14 @@ def name_tokens(name: Column | str) -> Column:
 
 def surname_candidates(name: Column | str) -> Column:
     """The last and the first piece that isn't an initial, the last piece, the last two together; distinct."""
-    parts = name_tokens(name)
-    words = F.filter(parts, lambda t: ~is_initial(t))
-    last_two = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), " "))
-    found = F.array(F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(1)), F.try_element_at(parts, F.lit(-1)), last_two)
-    return F.array_distinct(F.transform(F.filter(found, lambda c: c.isNotNull()), F.lower))
+
+    def candidates(both: Column) -> Column:
+        parts, words = both["parts"], both["words"]
+        last_two = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), " "))
+        found = F.array(F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(1)), F.try_element_at(parts, F.lit(-1)), last_two)
+        return F.array_distinct(F.transform(F.filter(found, lambda c: c.isNotNull()), F.lower))
+
+    return once(name_tokens(name), lambda parts: once(F.struct(parts.alias("parts"), F.filter(parts, lambda t: ~is_initial(t)).alias("words")), candidates))
 
 
 def given_tokens(name: Column | str, surname: Column) -> Column:

@@ -19,6 +19,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 @F.arrow_udf(T.StringType())
 def _ascii(column: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in column.to_pylist()], pa.string())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.text import checksum, chunk_id, token_count, tokens
+from scholia.functions.text import checksum, chunk_id, once, token_count, tokens
 
 #: Tokens below which a section is merged with the next, and tokens a chunk has at most.
 MERGE_BELOW, MAX_TOKENS = 200, 1024
@@ -60,11 +60,14 @@ def merge_sections(rows: DataFrame, paper: str, position: str, title: str, text:
 
 def balanced_pieces(token_list: Column, maximum: int = MAX_TOKENS) -> Column:
     """The tokens in ceil(T/max) pieces of equal size but the last; no tokens make one empty piece."""
-    n = F.size(token_list)
-    parts = F.greatest(F.ceil(n / maximum).cast("int"), F.lit(1))
-    size = F.greatest(F.ceil(n / parts).cast("int"), F.lit(1))
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), size)
-    return F.transform(starts, lambda o: F.slice(token_list, o + 1, size))
+
+    def cut(t: Column) -> Column:
+        n = F.size(t)
+        parts = F.greatest(F.ceil(n / maximum).cast("int"), F.lit(1))
+        size = F.greatest(F.ceil(n / parts).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), size), lambda o: F.slice(t, o + 1, size))
+
+    return once(token_list, cut)
 
 
 def split_chunks(rows: DataFrame, paper: str, position: str, text: str, maximum: int = MAX_TOKENS, tokenize=None) -> DataFrame:

@@ -30,11 +30,26 @@ def between(edges_: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFr
     return edges_.join(sources.select(F.col("id").alias("src")), "src", "left_semi").join(targets.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type")
 
 
+#: G1: the properties of a paper's node, and their types.
+PAPER_PROPERTIES = {"title": "string", "doi": "string", "published": "date", "updated": "date", "summary": "string", "url": "string"}
+
+
+def arxiv_result(rows: DataFrame, entry: Column, updated: Column, published: Column) -> DataFrame:
+    """``rows`` with entry_id (the last part of the entry's address) and both dates as yyyy-MM-dd."""
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return rows.withColumns({"entry_id": F.element_at(F.split(entry, "/"), -1), "updated": shown(updated), "published": shown(published)})
+
+
 def scholarly_graph(papers: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) from papers (id, title, authors, categories, order) and citations (src, dst)."""
-    paper = nodes(papers, F.col("id"), {"title": F.col("title")}, F.col("order")).select("id", F.lit("Paper").alias("label"), "title")
-    author = distinct_values(papers, F.col("authors")).select("id", F.lit("Author").alias("label"), F.lit(None).cast("string").alias("title"))
-    category = distinct_values(papers, F.col("categories")).select("id", F.lit("Category").alias("label"), F.lit(None).cast("string").alias("title"))
+    """(nodes, edges) from papers (id, authors, categories, order and any of PAPER_PROPERTIES) and citations (src, dst).
+
+    Nodes have id, label and all PAPER_PROPERTIES, null where there's none.
+    """
+    own = {n: (F.col(n) if n in papers.columns else F.lit(None)).cast(t) for n, t in PAPER_PROPERTIES.items()}
+    none = [F.lit(None).cast(t).alias(n) for n, t in PAPER_PROPERTIES.items()]
+    paper = nodes(papers, F.col("id"), own, F.col("order")).select("id", F.lit("Paper").alias("label"), *own)
+    author = distinct_values(papers, F.col("authors")).select("id", F.lit("Author").alias("label"), *none)
+    category = distinct_values(papers, F.col("categories")).select("id", F.lit("Category").alias("label"), *none)
     wrote = edges(papers.select(F.explode("authors").alias("a"), "id"), F.col("a"), F.col("id"), "WROTE")
     within = edges(papers.select("id", F.explode("categories").alias("c")), F.col("id"), F.col("c"), "IN_CATEGORY")
     cites = between(edges(citations, F.col("src"), F.col("dst"), "CITES"), paper, paper)

@@ -91,7 +91,9 @@ def authors_in_text(texts: DataFrame, key: str, text: str, authors: DataFrame, a
     names = authors.select(F.col(key), F.col(author).alias("author")).distinct()
     names = names.withColumns({"_c": F.filter(F.transform(surname_candidates("author"), F.trim), lambda c: c != ""), "_g": given})
     listed = names.groupBy(key).agg(F.collect_list(F.struct("author", "_c", "_g")).alias("_names"))
-    asked = texts.select(F.col(key), normalize_name(text).alias("_t")).join(listed, key)
+    # The join's own partitioning, but with a number that isn't lowered for small tables: the search is costly.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = texts.select(F.col(key), normalize_name(text).alias("_t")).repartition(parts, key).join(listed, key)
 
     @F.arrow_udf("array<struct<author:string,method:string,candidate:string,given:string,positions:array<int>,score:double,matched_word:string>>")
     def find(column: pa.Array, lists: pa.Array) -> pa.Array:
@@ -107,9 +109,12 @@ def _named_in(text: str, people: list[dict], threshold: float, window: int) -> l
     place: dict[str, list[int]] = {}
     for i, w in enumerate(_WORDS.findall(text)):
         place.setdefault(w, []).append(i)
+    sized: dict[int, list[str]] = {}
+    for w in place:
+        sized.setdefault(len(w), []).append(w)
     out = []
     for p in people:
-        hit = _tier(p["_c"], p["_g"] or (), plain, place, threshold, window)
+        hit = _tier(p["_c"], p["_g"] or (), plain, place, sized, threshold, window)
         if hit:
             out.append({"author": p["author"]} | hit)
     return out
@@ -118,7 +123,7 @@ def _named_in(text: str, people: list[dict], threshold: float, window: int) -> l
 _BETWEEN, _WORDS = re.compile("[^0-9a-z]+"), re.compile(r"[0-9a-zA-Z'\-]+")
 
 
-def _tier(candidates, given, plain: str, place: dict[str, list[int]], threshold: float, window: int) -> dict | None:
+def _tier(candidates, given, plain: str, place: dict[str, list[int]], sized: dict[int, list[str]], threshold: float, window: int) -> dict | None:
     bare = [(c, f" {_BETWEEN.sub(' ', c)} ") for c in candidates]
     for method, rest in (("citation", "et al "), ("surname", "")):
         for c, word in bare:
@@ -132,15 +137,14 @@ def _tier(candidates, given, plain: str, place: dict[str, list[int]], threshold:
                     return {"method": "fullname", "candidate": c, "given": g, "positions": [near, i]}
     best, matcher = (0.0, None, None), difflib.SequenceMatcher(None, "", "")
     for c in candidates:
-        for w in place:
-            # The ratio is at most 2*min/(sum of lengths): most words need no comparison.
-            if min(len(w), len(c)) < 3 or 2 * min(len(w), len(c)) < threshold * (len(w) + len(c)):
-                continue
+        # The ratio is at most 2*min/(sum of lengths): words of other lengths need no comparison.
+        fit = [n for n in sized if min(n, len(c)) >= 3 and 2 * min(n, len(c)) >= threshold * (n + len(c))]
+        for w in (w for n in sorted(fit) for w in sized[n]):
             # Both ends unlike cost two characters at least, which short words can't afford.
             if threshold > 0.9 and c[0] != w[0] and c[-1] != w[-1] and max(len(w), len(c)) < 12:
                 continue
             matcher.set_seqs(c, w)
-            if matcher.quick_ratio() >= threshold and (score := matcher.ratio()) > best[0]:
+            if matcher.quick_ratio() >= max(threshold, best[0]) and (score := matcher.ratio()) > best[0]:
                 best = (score, c, w)
     return {"method": "fuzzy", "candidate": best[1], "score": best[0], "matched_word": best[2]} if best[0] >= threshold else None
 

@@ -110,7 +110,16 @@ def lookup(ids: DataFrame, catalog: DataFrame, key: str = "arxiv_id") -> DataFra
 
 
 def search_title(catalog: DataFrame, glued: str, limit: int = 1) -> DataFrame:
-    """The most similar titles to one query string."""
-    spark = catalog.sparkSession
-    query = spark.createDataFrame([(0, glued)], "query_id long, glued string")
-    return trigram_candidates(query, catalog, 0.0001, limit)
+    """The most similar titles to one query string, by one scan: (query_id, id, created_date, cand_rank, similarity).
+
+    Titles that share no trigram with it aren't similar; ties go to the smaller id.
+    """
+    padded = f"  {glued} "
+    asked = sorted({padded[i : i + 3] for i in range(len(padded) - 2)}) if glued else []
+    grams = catalog.select("id", "created_date", trigrams("glued").alias("_g"))
+    shared = F.size(F.array_intersect("_g", F.array(*map(F.lit, asked)).cast("array<string>")))
+    found = grams.select("id", "created_date", F.size("_g").alias("_n"), shared.alias("_s")).filter("_s > 0")
+    scored = found.select(F.lit(0).cast("long").alias("query_id"), "id", "created_date", (F.col("_s") / (len(asked) + F.col("_n") - F.col("_s"))).alias("similarity"))
+    best = scored.orderBy(F.desc("similarity"), "id").limit(limit)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))  # of at most ``limit`` rows
+    return best.select("query_id", "id", "created_date", rank.alias("cand_rank"), "similarity")

@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,30 +181,87 @@ def approx_topk(queries: DataFrame, stored: DataFrame, k: int = 5, dim: int = 64
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def term_index(documents: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
-    """Postings (key, term, tf, length) of a text column, of all terms or of those of ``only`` (term)."""
-    terms = documents.select(F.col(key), F.transform(tokens(F.lower(text)), lambda t: t).alias("_t"))
-    each = terms.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    each = each if only is None else each.join(only, "term", "left_semi")
-    return each.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+def term_index(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Postings (key, length, term, tf) of a text column."""
+    terms = documents.select(F.col(key), tokens(F.lower(text)).alias("_t"))
+    return terms.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+
+
+#: Queries that are answered in one pass over the documents.
+QUERY_BLOCK = 1024
 
 
 def bm25(documents: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """V7: (query_id, key, score, rank) of the k best documents of each query by BM25.
+    """V7: (query_id, key, score, rank) of the k best documents of each query by BM25; ties go to the smaller key.
 
-    ``queries``: (query_id, text). Only postings of the queries' terms are made, once; the terms are a
-    table, so that their size is known and few of them are sent to the documents instead of the reverse.
+    ``queries``: (query_id, text). A document is scored against a block of queries where it is read, and
+    only the best of a batch leave the task: neither postings nor scores of all pairs are shuffled, and
+    frequent words cost no more than rare ones. One pass counts, one scores; more than QUERY_BLOCK
+    queries take a pass of each for every further block.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.lower("text")))).alias("term"))
-    sizes = documents.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.lower(text)))).alias("avg_len"))
-    held = materialize(term_index(documents, key, text, materialize(asked.select("term").distinct(), "terms")), "postings")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    scored = held.join(df, "term").join(asked, "term").crossJoin(F.broadcast(sizes))  # one row: the corpus statistics
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_len")))
-    total = scored.groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key)))
-    return total.withColumn("rank", rank).filter(F.col("rank") <= k)
+    asked = materialize(queries.select("query_id", F.array_distinct(tokens(F.lower("text"))).alias("terms")).filter(F.size("terms") > 0), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    lists = documents.select(F.col(key).alias("key"), tokens(F.lower(text)).alias("t"))
+    kinds = {"query_id": asked.schema["query_id"].dataType, "key": lists.schema["key"].dataType}
+    out = None
+    for n in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).sort("query_id").collect()  # QUERY_BLOCK rows, about
+        found = _bm25_block(lists, block, kinds, k, k1, b)
+        out = found if out is None else out.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("key")))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("key", key)
+
+
+def _term_counts(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, terms, counts) of the vocabulary's terms in lists of tokens, and the lengths of the lists."""
+    lengths = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    code = pa.compute.index_in(column.flatten(), value_set=vocabulary)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    known = code.is_valid().to_numpy(zero_copy_only=False)
+    at = row[known] * len(vocabulary) + code.drop_null().to_numpy()
+    at, count = np.unique(at, return_counts=True)
+    return at // max(1, len(vocabulary)), at % max(1, len(vocabulary)), count, lengths
+
+
+def _bm25_block(lists: DataFrame, block: list, kinds: dict, k: int, k1: float, b: float) -> DataFrame:
+    words = sorted({t for r in block for t in r["terms"]})
+    number = {w: i for i, w in enumerate(words)}
+    weight = np.zeros((len(words), len(block)))
+    for q, r in enumerate(block):
+        weight[[number[t] for t in r["terms"]], q] = 1.0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, df, n, total = pa.array(words, pa.string()), np.zeros(len(words), np.int64), 0, 0
+        for batch in batches:
+            _, term, _, lengths = _term_counts(batch.column("t"), vocabulary)
+            df += np.bincount(term, minlength=len(words))
+            n, total = n + len(lengths), total + int(lengths.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(words)), -1, -2], pa.int32()), pa.array([*df.tolist(), n, total], pa.int64())], ["term", "n"])
+
+    counts = {r["term"]: r["n"] for r in lists.select("t").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a query term
+    n_docs, length = counts.get(-1, 0), counts.get(-2, 0)
+    df = np.array([counts.get(i, 0) for i in range(len(words))], np.float64)
+    idf = np.log(1.0 + (n_docs - df + 0.5) / (df + 0.5))
+    average = max(length / max(1, n_docs), 1e-12)
+    ids = [r["query_id"] for r in block]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(words, pa.string())
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                row, term, tf, lengths = _term_counts(batch.column("t"), vocabulary)
+                part = np.zeros((batch.num_rows, len(words)))
+                part[row, term] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / average))
+                scores = np.round(part @ weight, 6)
+                least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.zeros(len(ids))
+                doc, q = np.nonzero((scores >= least) & (scores > 0))  # with all ties of the last
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], batch_types[0]), batch.column("key").take(pa.array(doc)), pa.array(scores[doc, q], pa.float64())], ["query_id", "key", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_types = [to_arrow_type(kinds["query_id"])]
+    return lists.mapInArrow(score, f"query_id {kinds['query_id'].simpleString()}, key {kinds['key'].simpleString()}, score double")
 
 
 def fuse_ranks(first: DataFrame, second: DataFrame, key: str, k: int = 10, constant: int = 60) -> DataFrame:

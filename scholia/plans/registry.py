@@ -86,7 +86,10 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "works").select("id", X.file_name("arxiv_id", shown).alias("file"), shown.alias("shown"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT chunk_seq, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(chunk_id)) AS h FROM chunks)
+    SELECT chunk_seq, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || CASE WHEN substring(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substring(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substring(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS uuid FROM h"""
+)
 def uuid5_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_seq", X.uuid5("chunk_id").alias("uuid"))
 
@@ -474,8 +477,10 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     papers = table(spark, d, "papers").select(
-        F.col("arxiv_id").alias("id"), "title", F.col("normalized_authors").alias("authors"), F.split(F.get_json_object("metadata", "$.categories"), " ").alias("categories"), F.struct("created_date", F.col("id").alias("n")).alias("order")
-    )
+        F.col("arxiv_id").alias("id"), "title", F.get_json_object("metadata", "$.doi").alias("doi"), F.col("created_date").alias("published"), X.parse_date(F.get_json_object("metadata", "$.updated"), F.lit(None).cast("date")).alias("updated"),
+        F.get_json_object("metadata", "$.abstract").alias("summary"), F.concat(F.lit("https://arxiv.org/pdf/"), "arxiv_id").alias("url"),
+        F.col("normalized_authors").alias("authors"), F.split(F.get_json_object("metadata", "$.categories"), " ").alias("categories"), F.struct("created_date", F.col("id").alias("n")).alias("order"),
+    )
     chunks, cites = table(spark, d, "chunks").select("chunk_seq", "chunk_paper_id"), table(spark, d, "citations").select("chunk_seq", "arxiv_id")
     pairs = chunks.join(cites, "chunk_seq").select(F.col("chunk_paper_id").alias("src"), F.col("arxiv_id").alias("dst"))
     return graph.scholarly_graph(papers, pairs)
@@ -485,9 +490,11 @@ _SQL_PAPERS = """p AS (SELECT arxiv_id AS id, id AS n, title, normalized_authors
 
 
 @query(
-    f"""WITH {_SQL_PAPERS} SELECT id, 'Paper' AS label, arg_max(title, (created_date, n)) AS title FROM p GROUP BY id
-    UNION ALL SELECT DISTINCT x, 'Author', NULL FROM (SELECT unnest(normalized_authors) AS x FROM papers) WHERE x IS NOT NULL AND x <> ''
-    UNION ALL SELECT DISTINCT x, 'Category', NULL FROM (SELECT unnest(string_split(metadata->>'$.categories', ' ')) AS x FROM papers) WHERE x IS NOT NULL AND x <> ''"""
+    r"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY created_date DESC NULLS LAST, id DESC) AS rn, metadata->>'$.updated' AS u FROM papers WHERE arxiv_id IS NOT NULL)
+    SELECT arxiv_id AS id, 'Paper' AS label, title, metadata->>'$.doi' AS doi, created_date AS published, CASE WHEN regexp_matches(u, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN try_cast(u AS DATE) WHEN regexp_matches(split_part(u, 'T', 1), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN try_cast(split_part(u, 'T', 1) AS DATE) END AS updated,
+    metadata->>'$.abstract' AS summary, 'https://arxiv.org/pdf/' || arxiv_id AS url FROM p WHERE rn = 1
+    UNION ALL SELECT DISTINCT x, 'Author', NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT unnest(normalized_authors) AS x FROM papers) WHERE x IS NOT NULL AND x <> ''
+    UNION ALL SELECT DISTINCT x, 'Category', NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT unnest(string_split(metadata->>'$.categories', ' ')) AS x FROM papers) WHERE x IS NOT NULL AND x <> ''"""
 )
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d)[0]
@@ -611,7 +618,11 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.fuse_ranks(words, near.select("query_id", F.col("vec_id").alias("id"), "rank"), "id")
 
 
-@query()
+@query(
+    """WITH l AS (SELECT arxiv_id AS paper_id, coalesce(metadata->>'$.updated', '') AS updated, row_number() OVER (PARTITION BY arxiv_id ORDER BY id DESC) AS rn FROM papers WHERE arxiv_id IS NOT NULL),
+    c AS (SELECT chunk_paper_id AS paper_id, count(*) AS n FROM chunks GROUP BY 1), r AS (SELECT k.chunk_paper_id AS paper_id, count(DISTINCT (c.arxiv_id, c.title)) AS n FROM citations c JOIN chunks k USING (chunk_seq) GROUP BY 1)
+    SELECT l.paper_id, l.updated, coalesce(c.n, 0)::INT AS n_chunks, coalesce(r.n, 0)::INT AS n_references FROM l LEFT JOIN c USING (paper_id) LEFT JOIN r USING (paper_id) WHERE rn = 1"""
+)
 def paper_documents(spark: SparkSession, d: str) -> DataFrame:
     """Nested documents of papers with their chunks and references; flattened to counts."""
     from scholia.plans import pipelines

@@ -69,6 +69,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors see")
     folder = f"file://{tempfile.gettempdir()}/scholia-{os.getpid()}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
