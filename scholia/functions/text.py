@@ -74,6 +74,19 @@ def format_authors(authors: Column | str) -> Column:
     return F.coalesce(F.filter(shown, lambda n: n != ""), F.array().cast("array<string>"))
 
 
+_AUTHOR = "struct<keyname:string,forenames:string>"
+
+
+def author_items(json: Column | str) -> Column:
+    """The authors in a JSON text, which may be a list of objects, one object, a bare name or nothing."""
+    json = F.trim(_col(json))
+    one = lambda kind: F.from_json(json, kind)
+    bare = F.array(F.struct(F.regexp_replace(json, '^"|"$', "").alias("keyname"), F.lit(None).cast("string").alias("forenames")))
+    listed = F.filter(one(f"array<{_AUTHOR}>"), lambda a: a.isNotNull())
+    items = F.when(F.startswith(json, F.lit("[")), listed).when(F.startswith(json, F.lit("{")), F.array(one(_AUTHOR))).when((json != "") & (json != "null"), bare)
+    return F.coalesce(items, F.array().cast(f"array<{_AUTHOR}>"))
+
+
 def normalize_name(name: Column | str) -> Column:
     """Marks dropped, lower case; anything but letters, digits, '-' and apostrophe becomes a space."""
     kept = F.regexp_replace(F.lower(_unmarked(_col(name))), r"[^0-9a-z\-']", " ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import base_id, format_authors, glue, normalize_list, normalize_text, parse_date
@@ -102,6 +102,19 @@ def describe_table(catalog: DataFrame) -> DataFrame:
     return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(catalog.schema)], "position int, column string, type string")
 
 
+def compact(spark: SparkSession, path: str, target: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """The table at ``path`` written to ``target`` in full files, and its statistics: (column, n, nulls, distinct).
+
+    Distinct counts are approximate (within 5 %); the old files stay until the caller drops them.
+    """
+    rows = spark.read.parquet(path)
+    total = rows.count()
+    rows.coalesce(max(1, -(-total // rows_per_file))).write.option("maxRecordsPerFile", rows_per_file).parquet(target)
+    made = spark.read.parquet(target)
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.approx_count_distinct(c).alias("distinct")) for c in made.columns))
+    return made.agg(each.alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
+
+
 def add_column(catalog: DataFrame, name: str, kind: str) -> DataFrame:
     """K8: the table with a null column of this name, unless it has one."""
     return catalog if name in catalog.columns else catalog.withColumn(name, F.lit(None).cast(kind))

@@ -28,15 +28,23 @@ def parse_lines(lines: DataFrame, column: str, schema: str | T.StructType) -> tu
     return good, parsed.filter(bad).select(*others, F.col(column).alias("line"))
 
 
-def json_array(spark: SparkSession, path: str, schema: str | T.StructType, needed: list[str]) -> DataFrame:
-    """The items of a JSON-array checkpoint that have all the needed fields; a missing file is an empty table."""
+def json_array(spark: SparkSession, path: str, schema: str | T.StructType, needed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(items, quarantined): the items of JSON-array checkpoints that have all the needed fields; files that can't be read.
+
+    ``quarantined``: (path, reason). A missing file is two empty tables; items without a needed field drop out.
+    """
     from pyspark.errors import AnalysisException
 
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     try:
-        rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     except AnalysisException:
-        return spark.createDataFrame([], schema)
-    return rows.dropna(subset=needed)
+        return spark.createDataFrame([], kind), spark.createDataFrame([], "path string, reason string")
+    parsed = whole.withColumn("_items", F.from_json("value", T.ArrayType(kind), {"mode": "PERMISSIVE"}))
+    # A broken array is read up to its fault, so the end of the text decides as well.
+    sound = F.col("_items").isNotNull() & F.trim("value").rlike(r"(?s)^\s*\[.*\]\s*$") & F.try_parse_json("value").isNotNull()
+    items = parsed.filter(sound).select(F.explode("_items").alias("_i")).select("_i.*").dropna(subset=needed)
+    return items, parsed.filter(~sound).select("path", F.lit("not a JSON array").alias("reason"))
 
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -76,10 +84,19 @@ def not_processed(files: DataFrame, done: DataFrame, path: str = "path") -> Data
 
 
 def unique_names(rows: DataFrame, name: str, order: Column) -> DataFrame:
-    """Equal file names get _1, _2 … before the extension, the first one none."""
-    number = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    """Equal file names get _1, _2 … before the extension, the first one none.
+
+    A number that would give a name some row has itself is left out, so all names are distinct.
+    """
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("_n", number).withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))).drop("_n")
+    own = Window.partitionBy(name).orderBy(order)
+    marked = rows.withColumns({"_n": F.row_number().over(own) - 1, "_stem": stem, "_ext": ext})
+    # Numbers taken by rows that are called so: (stem, ext) -> numbers, only where such names exist.
+    taken = rows.select(F.regexp_extract(name, r"^(.*)_([1-9][0-9]*)(\.[^.]*)?$", 1).alias("_stem"), F.regexp_extract(name, r"^(.*)_([1-9][0-9]*)(\.[^.]*)?$", 2).try_cast("int").alias("_t"), F.regexp_extract(name, r"^(.*)_([1-9][0-9]*)(\.[^.]*)?$", 3).alias("_ext"))
+    held = taken.filter("_t IS NOT NULL").groupBy("_stem", "_ext").agg(F.array_sort(F.collect_set("_t")).alias("_taken"))
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    numbered = F.concat("_stem", F.lit("_"), free.cast("string"), "_ext")
+    return marked.join(held, ["_stem", "_ext"], "left").withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(numbered)).select(*rows.columns, "unique_name")
 
 
 def append_lines(rows: DataFrame, path: str) -> None:

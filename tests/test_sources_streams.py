@@ -20,8 +20,11 @@ def test_json_lines(spark, tmp_path):
 
 def test_json_array(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"a": 1, "b": "x"}, {"a": 2}]')
-    assert [r["a"] for r in files.json_array(spark, str(tmp_path / "c.json"), "a int, b string", ["a", "b"]).collect()] == [1]
-    assert files.json_array(spark, str(tmp_path / "missing.json"), "a int", ["a"]).count() == 0
+    assert [r["a"] for r in files.json_array(spark, str(tmp_path / "c.json"), "a int, b string", ["a", "b"])[0].collect()] == [1]
+    assert files.json_array(spark, str(tmp_path / "missing.json"), "a int", ["a"])[0].count() == 0
+    (tmp_path / "broken.json").write_text('[{"a": 1, "b": "x"}, {"a": 2')
+    items, quarantined = files.json_array(spark, str(tmp_path / "*.json"), "a int, b string", ["a", "b"])
+    assert [r["a"] for r in items.collect()] == [1] and [r["path"].split("/")[-1] for r in quarantined.collect()] == ["broken.json"]
 
 
 def test_documents_and_names(spark, tmp_path):
@@ -39,6 +42,8 @@ def test_documents_and_names(spark, tmp_path):
     assert files.not_processed(found, done).count() == 0
     names = spark.createDataFrame([(1, "a.pdf"), (2, "a.pdf"), (3, "b"), (4, "a.pdf")], "i int, n string")
     assert [r["unique_name"] for r in files.unique_names(names, "n", F.col("i")).orderBy("i").collect()] == ["a.pdf", "a_1.pdf", "b", "a_2.pdf"]
+    clash = spark.createDataFrame([(1, "x.pdf"), (2, "x.pdf"), (3, "x_1.pdf"), (4, "x.pdf"), (5, "x_3.pdf")], "i long, n string")
+    assert [r["unique_name"] for r in files.unique_names(clash, "n", F.col("i")).orderBy("i").collect()] == ["x.pdf", "x_2.pdf", "x_1.pdf", "x_4.pdf", "x_3.pdf"]
 
 
 def work(i, **more):
