@@ -67,16 +67,22 @@ def embed(rows: DataFrame, text: Column, make=HashingEmbedder, batch: int = 256)
     return rows.withColumn("vector", encode(text))
 
 
-def not_stored(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key isn't stored, one row a key; before anything costly is done to them."""
-    return incoming.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(stored.select(key), key, "left_anti")
-
-
-def new_papers_and_chunks(papers: DataFrame, chunks: DataFrame, stored_papers: DataFrame, stored_chunks: DataFrame, old_papers_too: bool = False) -> tuple[DataFrame, DataFrame]:
+def not_stored(incoming: DataFrame, stored: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows whose key isn't stored, one row a key (the first by ``order``, else any); before anything costly is done to them."""
+    keyed = incoming.filter(F.col(key).isNotNull())
+    if order is None:
+        one = keyed.dropDuplicates([key])
+    else:
+        others = [c for c in incoming.columns if c != key]
+        one = keyed.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*(c if c == key else F.col("_r")[c].alias(c) for c in incoming.columns))
+    return one.join(stored.select(key), key, "left_anti")
+
+
+def new_papers_and_chunks(papers: DataFrame, chunks: DataFrame, stored_papers: DataFrame, stored_chunks: DataFrame, old_papers_too: bool = False, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Papers that aren't stored, and of their chunks (or of all) those whose checksum isn't."""
     fresh = not_stored(papers, stored_papers, "arxiv_id")
     of_fresh = chunks if old_papers_too else chunks.join(fresh.select(F.col("arxiv_id").alias("chunk_paper_id")), "chunk_paper_id", "left_semi")
-    return fresh, not_stored(of_fresh, stored_chunks, "checksum")
+    return fresh, not_stored(of_fresh, stored_chunks, "checksum", order)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: Column | None = None) -> DataFrame:

@@ -155,9 +155,9 @@ def decide_styles(sections: DataFrame, entries: DataFrame | None = None) -> Data
     return style.decide_style(counts, "paper_id", None if entries is None else style.bibliography_counts(entries, "paper_id", "entry"))
 
 
-def load_vectors(papers: DataFrame, chunks: DataFrame, stored_papers: DataFrame, stored_chunks: DataFrame, make=vectors.HashingEmbedder) -> tuple[DataFrame, DataFrame]:
+def load_vectors(papers: DataFrame, chunks: DataFrame, stored_papers: DataFrame, stored_chunks: DataFrame, make=vectors.HashingEmbedder, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The papers and chunks to add, embedded; whatever is stored drops out before the embedder runs."""
-    p, c = vectors.new_papers_and_chunks(papers, chunks, stored_papers, stored_chunks)
+    p, c = vectors.new_papers_and_chunks(papers, chunks, stored_papers, stored_chunks, order=order)
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
     return vectors.embed(p, text, make).withColumn("uuid", vectors.uuid5("arxiv_id")), vectors.embed(c, F.col("chunk_text"), make).withColumn("uuid", vectors.uuid5("checksum"))
 

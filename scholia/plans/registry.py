@@ -304,9 +304,12 @@ def author_year_counts_in_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def citation_style_decision(spark: SparkSession, d: str) -> DataFrame:
+    """C7 with each paper's bibliography: its citations as entries, authors before the title."""
     rows = table(spark, d, "chunks").select("chunk_paper_id", "chunk_seq", "section_title", "chunk_text")
     counts = style.section_counts(rows, "chunk_paper_id", "chunk_seq", "section_title", "chunk_text")
-    return style.decide_style(counts, "chunk_paper_id")
+    entry = F.concat_ws(". ", F.array_join("authors_str", " and "), F.concat(F.lit("20"), F.lpad((F.col("citation_id") % 25).cast("string"), 2, "0")), "title")
+    entries = table(spark, d, "citations").join(rows.select("chunk_seq", "chunk_paper_id"), "chunk_seq").select("chunk_paper_id", entry.alias("entry"))
+    return style.decide_style(counts, "chunk_paper_id", style.bibliography_counts(entries, "chunk_paper_id", "entry"))
 
 
 @query(
@@ -451,13 +454,18 @@ def label_centroids(spark: SparkSession, d: str) -> DataFrame:
     return made.select("label", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
-@query()
+@query(
+    """WITH f AS (SELECT DISTINCT arxiv_id FROM papers WHERE batch_no > 0 AND arxiv_id IS NOT NULL AND arxiv_id NOT IN (SELECT arxiv_id FROM papers WHERE batch_no = 0 AND arxiv_id IS NOT NULL)),
+    c AS (SELECT sha256(chunk_text) AS s, min(chunk_seq) AS chunk_seq FROM chunks WHERE batch_no > 0 AND chunk_text IS NOT NULL AND chunk_paper_id IN (SELECT arxiv_id FROM f) AND sha256(chunk_text) NOT IN (SELECT sha256(chunk_text) FROM chunks WHERE batch_no = 0 AND chunk_text IS NOT NULL) GROUP BY 1),
+    h AS (SELECT chunk_seq, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(s)) AS h FROM c)
+    SELECT chunk_seq, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || CASE WHEN substring(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substring(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substring(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS uuid, 64 AS dim FROM h"""
+)
 def embed_new_chunks(spark: SparkSession, d: str) -> DataFrame:
     from scholia.plans.pipelines import load_vectors
 
     papers = table(spark, d, "papers").select("arxiv_id", "title", F.get_json_object("metadata", "$.abstract").alias("abstract"), "batch_no")
     chunks = table(spark, d, "chunks").select("chunk_paper_id", "chunk_seq", "chunk_text", X.checksum("chunk_text").alias("checksum"), "batch_no")
-    _, new = load_vectors(papers.filter("batch_no > 0"), chunks.filter("batch_no > 0"), papers.filter("batch_no = 0"), chunks.filter("batch_no = 0"))
+    _, new = load_vectors(papers.filter("batch_no > 0"), chunks.filter("batch_no > 0"), papers.filter("batch_no = 0"), chunks.filter("batch_no = 0"), order="chunk_seq")
     return new.select("chunk_seq", "uuid", F.size("vector").alias("dim"))
 
 
@@ -465,7 +473,15 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select(F.col("chunk_seq").alias("id"), "chunk_text").filter("chunk_text IS NOT NULL")
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT '(?:[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B])' AS r),
+    t AS (SELECT chunk_seq AS id, regexp_extract_all(lower(chunk_text), (SELECT r FROM w)) AS l FROM chunks WHERE chunk_text IS NOT NULL),
+    q AS (SELECT id AS query_id, unnest(list_distinct(regexp_extract_all(lower(title), (SELECT r FROM w)))) AS term FROM works WHERE title IS NOT NULL AND substring(id, 2)::BIGINT % 100 = 0),
+    p AS (SELECT id, len(l) AS n, unnest(l) AS term FROM t), f AS (SELECT id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+    d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), s AS (SELECT count(*) AS docs, avg(len(l)) AS avg_len FROM t),
+    x AS (SELECT query_id, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))), 6) AS score FROM f JOIN d USING (term) JOIN q USING (term) CROSS JOIN s GROUP BY 1, 2)
+    SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 10"""
+)
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Queries are the works whose number is divisible by 100, searched in the text of all chunks."""
     asked = table(spark, d, "works").filter(F.col("title").isNotNull() & (F.substring("id", 2, 20).cast("long") % 100 == 0)).select(F.col("id").alias("query_id"), F.col("title").alias("text"))
@@ -564,7 +580,7 @@ def stream_dedup_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT id, coalesce(nullif(title, ''), 'Untitled') AS title, citations, substring(regexp_replace(coalesce(nullif(title, ''), 'Untitled'), '[<>:"/\\|?*]', '', 'g'), 1, 100) || '.pdf' AS filename FROM works WHERE pdf_url <> ''"""
+    r"""SELECT id, coalesce(nullif(title, ''), 'Untitled') AS title, citations, substring(regexp_replace(coalesce(nullif(title, ''), 'Untitled'), '[<>:"/\\|?*]', '', 'g'), 1, 100) || '.pdf' AS filename, arxiv_id FROM works WHERE pdf_url <> ''"""
 )
 def works_payload(spark: SparkSession, d: str) -> DataFrame:
     """Works from payloads of the paged source's shape, with a second location that doesn't count."""
@@ -573,7 +589,7 @@ def works_payload(spark: SparkSession, d: str) -> DataFrame:
     place = lambda source, url: F.struct(F.struct(F.lit(source).alias("id")).alias("source"), url.alias("pdf_url"))
     places = F.array(place("https://x.example/S1", F.lit("other")), place(f"https://x.example/{SOURCE_ID}", F.col("pdf_url")))
     raw = F.struct("id", "title", F.lit("").alias("display_name"), F.col("citations").alias("cited_by_count"), F.struct(F.col("arxiv_id").alias("arxiv")).alias("ids"), places.alias("locations"))
-    return works(table(spark, d, "works").select(F.to_json(raw).alias("payload"))).select("id", "title", "citations", "filename")
+    return works(table(spark, d, "works").select(F.to_json(raw).alias("payload"))).select("id", "title", "citations", "filename", "arxiv_id")
 
 
 def _xml(text):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import importlib
 import json
 import os
+import time
 from datetime import UTC, datetime
 from xml.etree import ElementTree
 
@@ -16,6 +17,40 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 RECORD_SCHEMA = "identifier string, datestamp string, sets array<string>, metadata string"
 #: Pages in a row with the same token, or without a record, before the harvest starts again from the last date.
 STUCK = 3
+#: Tries of a page, seconds to wait where a busy service doesn't say, and the factor of the wait after each failure.
+TRIES, BUSY_DELAY, BACKOFF = 6, 10, 2.0
+
+
+class Busy(Exception):
+    """The service answers 503; ``retry_after``: its Retry-After header, if there is one."""
+
+    def __init__(self, retry_after: str | None = None) -> None:
+        super().__init__("503")
+        self.retry_after = retry_after
+
+
+def fetch(transport, token: str | None, since: str | None, sleep=time.sleep) -> bytes | None:
+    """S3: a page, after as many waits as the service asks for and twice as long a one after each failure.
+
+    None if a token keeps failing and there's a date to begin anew from; else the last failure is raised
+    after TRIES (busy) or twice as many (failed) tries, so that the task can be retried.
+    """
+    busy = failed = 0
+    while True:
+        try:
+            return transport.list(token, since)
+        except Busy as e:
+            busy += 1
+            if busy > TRIES:
+                raise
+            sleep(int(e.retry_after) if e.retry_after and e.retry_after.isdigit() else BUSY_DELAY)
+        except OSError:
+            failed += 1
+            if failed >= TRIES and token and since:
+                return None
+            if failed > 2 * TRIES:
+                raise
+            sleep(BACKOFF**failed)
 
 
 def local_name(tag: str) -> str:
@@ -89,18 +124,24 @@ class OaiStream(SimpleDataSourceStreamReader):
         return getattr(importlib.import_module(module), name)(self.options["path"])
 
     def initialOffset(self):
-        return {"token": "", "since": self.options.get("from", ""), "stuck": 0, "done": 0}
+        return {"token": "", "since": self.options.get("from", ""), "last": "", "stuck": 0, "done": 0}
 
     def _next(self, start):
-        page = self._transport().list(start["token"] or None, start["since"] or None)
+        page = fetch(self._transport(), start["token"] or None, start["since"] or None)
+        if page is None:  # the token is stale: begin anew at the last date
+            return [], start | {"token": "", "stuck": 0}
         rows = list(records(page))
+        ids = [r[0] for r in rows]
+        if not start["token"] and start.get("last") in ids:  # begun anew: what came up to the last record is known
+            rows = rows[ids.index(start["last"]) + 1 :]
         token, info = resumption(page)
         stuck = start["stuck"] + 1 if (token == start["token"] and token) or not rows else 0
         since = max([start["since"], *(r[1] for r in rows)])
+        last = rows[-1][0] if rows else start.get("last", "")
         if token and (stuck >= STUCK or expired(info)):
             token, stuck = "", 0  # begin anew at the last date
-            return rows, {"token": "", "since": since, "stuck": 0, "done": 0}
-        return rows, {"token": token or start["token"], "since": since, "stuck": stuck, "done": int(not token)}
+            return rows, {"token": "", "since": since, "last": last, "stuck": 0, "done": 0}
+        return rows, {"token": token or start["token"], "since": since, "last": last, "stuck": stuck, "done": int(not token)}
 
     def read(self, start):
         if start["done"]:

@@ -1,6 +1,7 @@
 import json
 from datetime import UTC, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholia.sources import files, oai, tei, works_api
@@ -189,3 +190,30 @@ def test_single_citations(spark):
     df = spark.createDataFrame([("[1] good",), ("[1] good",), ("down",), ("odd",), ("[2] bad",), (None,)], "c string")
     got = {r["original_citation"]: (r["title"], r["authors_teiled"], r["error"]) for r in tei.citation_table(df, "c", call).collect()}
     assert got == {"[1] good": ("T", ["A B"], None), "down": ("", [], "OSError: no route"), "odd": ("", [], "no item in the answer"), "[2] bad": ("", [], "status 500")}
+
+
+def test_a_busy_or_failing_harvest_waits():
+    waits, answers = [], [oai.Busy("7"), oai.Busy(), OSError(), OSError(), b"page"]
+
+    class Service:
+        def list(self, token, since):
+            a = answers.pop(0) if answers else OSError()
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+    assert oai.fetch(Service(), "t", "2020-01-01", waits.append) == b"page" and waits == [7, 10, 2.0, 4.0]
+    waits.clear()
+    assert oai.fetch(Service(), "t", "2020-01-01", waits.append) is None and waits == [2.0, 4.0, 8.0, 16.0, 32.0]
+    with pytest.raises(OSError):
+        oai.fetch(Service(), None, None, waits.append)
+
+
+def test_a_harvest_begun_anew_skips_what_it_has(tmp_path):
+    page = PAGE % b""
+    (tmp_path / "start.xml").write_bytes(page)
+    reader = oai.OaiStream({"path": str(tmp_path)})
+    rows, end = reader.read(reader.initialOffset())
+    rows = list(rows)
+    again, _ = reader.read({"token": "", "since": "2020-01-01", "last": rows[0][0], "stuck": 0, "done": 0})
+    assert end["last"] == rows[-1][0] and list(again) == rows[1:]
