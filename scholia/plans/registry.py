@@ -302,7 +302,26 @@ def author_year_counts_in_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", C.occurrences("text", C.AUTHOR_YEAR).cast("long").alias("author_year"))
 
 
-@query()
+_KIND_SQL = rf"""CASE WHEN regexp_matches(e, '{C.LABEL}') OR regexp_matches(e, '{C.LEADING_NUMBER}') THEN 'numeric' WHEN regexp_matches(e, '{C.YEAR}') AND (regexp_matches(e, '{C.NAMES}') OR contains(e, 'et al.')) THEN 'author_year' ELSE 'ambiguous' END"""
+_COUNTS_SQL = ", ".join(rf"len(regexp_extract_all(t, '{p}')) AS {k}" for k, p in zip(style.KINDS, (C.BRACKETED, C.PARENTHESISED, C.AUTHOR_YEAR, C.SUPERSCRIPT, C.SMALL_NUMBER), strict=True))
+_WORDS_SQL = " OR ".join(f"contains(h, '{w}')" for w in C.SECTION_WORDS)
+
+
+@query(
+    rf"""WITH s AS (SELECT chunk_paper_id AS p, chunk_seq, lower(coalesce(section_title, '')) AS h, coalesce(chunk_text, '') AS t FROM chunks),
+    n AS (SELECT p, chunk_seq, h, h <> '' AND ({_WORDS_SQL}) AS known, {_COUNTS_SQL} FROM s),
+    m AS (SELECT *, max(known::INT) OVER (PARTITION BY p) AS any_known, sum((h <> '')::INT) OVER (PARTITION BY p ORDER BY chunk_seq ROWS UNBOUNDED PRECEDING) AS place FROM n),
+    z AS (SELECT *, CASE WHEN any_known = 1 THEN known ELSE h <> '' AND place <= 3 END AS sel FROM m),
+    t AS (SELECT p, {", ".join(f"coalesce(sum(CASE WHEN sel THEN {k} END), 0)::INT AS {k}, sum({k})::INT AS body_{k}" for k in style.KINDS)} FROM z GROUP BY p),
+    e AS (SELECT DISTINCT k.chunk_paper_id AS p, trim(regexp_replace(concat_ws('. ', array_to_string(c.authors_str, ' and '), '20' || lpad((c.citation_id % 25)::VARCHAR, 2, '0'), c.title), '\s+', ' ', 'g')) AS e FROM citations c JOIN chunks k USING (chunk_seq)),
+    b AS (SELECT p, count(*)::INT AS bib_count, count(*) FILTER (k = 'numeric')::INT AS bib_numeric, count(*) FILTER (k = 'author_year')::INT AS bib_author_year FROM (SELECT p, {_KIND_SQL} AS k FROM e) GROUP BY p),
+    j AS (SELECT t.*, coalesce(bib_count, 0) AS bib_count, coalesce(bib_numeric, 0) AS bib_numeric, coalesce(bib_author_year, 0) AS bib_author_year, greatest(2, floor(coalesce(bib_count, 0) * 0.6)) AS most FROM t LEFT JOIN b ON b.p = t.p),
+    d AS (SELECT *, CASE WHEN bib_count >= 5 AND bib_numeric >= most THEN 'bibliography_majority_numeric' WHEN bib_count >= 5 AND bib_author_year >= most THEN 'bibliography_majority_author_year'
+      WHEN author_year >= 3 AND bracket + superscript <= 1 THEN 'sections_author_year_strong' WHEN bracket >= 4 OR (bracket >= 2 AND superscript >= 2) THEN 'sections_bracket_strong' WHEN superscript >= 4 THEN 'sections_superscript_strong'
+      WHEN author_year >= 4 AND author_year > bracket + superscript THEN 'sections_author_year_dominate' WHEN body_bracket >= 8 OR (body_bracket >= 5 AND body_superscript >= 3) THEN 'body_bracket_fallback'
+      WHEN body_author_year >= 8 AND body_author_year > body_bracket + body_superscript THEN 'body_author_year_fallback' ELSE 'conservative_default_no_clear_numeric_evidence' END AS reason FROM j)
+    SELECT p AS chunk_paper_id, {", ".join(f"{k}, body_{k}" for k in style.KINDS)}, bib_count, bib_numeric, bib_author_year, reason IN ('bibliography_majority_numeric', 'sections_bracket_strong', 'sections_superscript_strong', 'body_bracket_fallback') AS numbered, reason FROM d"""
+)
 def citation_style_decision(spark: SparkSession, d: str) -> DataFrame:
     """C7 with each paper's bibliography: its citations as entries, authors before the title."""
     rows = table(spark, d, "chunks").select("chunk_paper_id", "chunk_seq", "section_title", "chunk_text")
@@ -366,7 +385,17 @@ def entry_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).select("id", C.entry_kind("entry").alias("kind"), C.find_year("entry").alias("year"), C.is_full_entry("entry").alias("is_full"))
 
 
-@query()
+@query(
+    rf"""WITH e AS (SELECT id, id % 50 AS paper, {_ENTRY} AS entry FROM papers),
+    m AS (SELECT *, lower(entry) AS low, nullif(regexp_extract(entry, '((?:19|20)[0-9]{{2}})', 1), '') AS y, lower(trim(regexp_replace(regexp_replace(entry, '[\[\]().,;:"<>]', ' ', 'g'), '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x0B\x1C-\x1F]+', ' ', 'g'))) AS norm,
+      regexp_matches(entry, '{C.FULL_ENTRY}') OR {" OR ".join(f"contains(lower(entry), '{w}')" for w in C.FULL_WORDS)} OR length(entry) > 60 AS is_full FROM e WHERE entry IS NOT NULL),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper, norm ORDER BY id) AS rn FROM m WHERE is_full) WHERE rn = 1),
+    h AS (SELECT paper, id, y, CASE WHEN regexp_extract(entry, '{C.NAME_BLOCK}', 1) <> '' THEN regexp_extract(entry, '{C.NAME_BLOCK}', 1) WHEN regexp_extract(entry, '^(.*?)[0-9]{{4}}', 1) <> '' THEN regexp_extract(entry, '^(.*?)[0-9]{{4}}', 1) ELSE entry END AS head
+      FROM m WHERE NOT is_full AND y IS NOT NULL AND (contains(low, 'et al') OR (contains(low, ' and ') AND length(entry) < 80))),
+    n AS (SELECT paper, id, y, lower(regexp_replace(string_split_regex(trim(x), '\s+')[-1], '[^A-Za-z\-]', '', 'g')) AS name FROM (SELECT *, unnest(string_split_regex(head, '[,;]| and | & ')) AS x FROM h)),
+    g AS (SELECT DISTINCT n.paper, n.id FROM n JOIN f ON f.paper = n.paper AND f.y = n.y AND contains(f.low, n.name) WHERE n.name <> '')
+    SELECT id, paper, entry FROM f UNION ALL SELECT id, paper, entry FROM m WHERE NOT is_full AND NOT EXISTS (SELECT 1 FROM g WHERE g.paper = m.paper AND g.id = m.id)"""
+)
 def refs_without_repeats(spark: SparkSession, d: str) -> DataFrame:
     return references.without_repeats(_entries(spark, d), "paper", "entry", "id")
 
@@ -611,7 +640,9 @@ def tei_sections(spark: SparkSession, d: str) -> DataFrame:
     return section_table(tei, "chunk_paper_id").select("chunk_paper_id", c("pos").cast("long").alias("pos"), "section_title", X.checksum("section_text").alias("checksum"))
 
 
-@query()
+@query(
+    r"""SELECT chunk_seq, row_number() OVER (PARTITION BY chunk_seq ORDER BY citation_id)::INT AS id, trim(regexp_replace(coalesce(title, ''), '[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+', ' ', 'g')) AS title, NULL::VARCHAR AS error FROM citations WHERE chunk_seq IS NOT NULL"""
+)
 def tei_references(spark: SparkSession, d: str) -> DataFrame:
     """C20: references of a chunk's TEI, which is made of its citations."""
     from scholia.sources.tei import reference_table
