@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.names import author_tokens, tokens_match
-from scholia.session import materialize, spread
+from scholia.operators.trigrams import search
 
 #: Candidates a query keeps, and the least trigram similarity.
 CANDIDATES, SIMILARITY = 50, 0.3
-#: 64-bit words of a text's sketch of trigrams.
-SKETCH = 8
 
 
 def trigrams(text: Column | str) -> Column:
@@ -35,45 +33,9 @@ def exact_candidates(queries: DataFrame, catalog: DataFrame, limit: int = CANDID
 def trigram_candidates(queries: DataFrame, catalog: DataFrame, threshold: float = SIMILARITY, limit: int = CANDIDATES) -> DataFrame:
     """Catalog rows whose trigram similarity to the query reaches ``threshold``, the most similar first.
 
-    A prefix-filtered set-similarity join: with the grams of a text in a global order by rarity, two
-    texts that share t of theirs share one among the rarest n - t + 1 of either. So only those are
-    joined, on both sides, and with the sizes that can still reach the threshold; common grams never
-    meet, and the result is exact. Distinct texts are compared, not rows.
+    Exact: each text's trigrams are counted in every title (see `trigrams`).
     """
-    queries = materialize(spread(queries.select("query_id", "glued")), "queries")  # read several times; made once
-    catalog = materialize(spread(catalog.select("id", "glued", "created_date")), "titles")
-
-    def with_grams(rows: DataFrame, text: str, grams: str) -> DataFrame:
-        made = rows.filter(F.col("glued") != "").select("glued").distinct().select(F.col("glued").alias(text), trigrams("glued").alias(grams))
-        return materialize(spread(made), "grams")
-
-    q, c = with_grams(queries, "q", "qg"), with_grams(catalog, "c", "cg")
-    frequency = c.select(F.explode("cg").alias("gram")).groupBy("gram").count()
-
-    def prefixed(rows: DataFrame, text: str, grams: str) -> DataFrame:
-        each = rows.select(text, F.size(grams).alias("n"), F.explode(grams).alias("gram")).join(frequency, "gram", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("f"), "gram")))
-        bit = F.pmod(F.xxhash64("gram"), F.lit(64 * SKETCH))
-        word = lambda i: F.bit_or(F.when(F.floor(bit / 64) == i, F.expr("shiftleft(1L, CAST(pmod(xxhash64(gram), 64L) AS INT))")).otherwise(F.lit(0)))
-        kept = each.groupBy(text, "n").agg(order.alias("o"), *(word(i).alias(f"s{i}") for i in range(SKETCH)))
-        # Jaccard t needs at least ceil(t*n) shared grams, so the first n - ceil(t*n) + 1 decide.
-        head = F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-        return kept.select(text, "n", *(f"s{i}" for i in range(SKETCH)), F.explode(head).alias("g")).select(text, "n", *(f"s{i}" for i in range(SKETCH)), F.col("g.gram").alias("gram"))
-
-    left, right = prefixed(q, "q", "qg").alias("l"), prefixed(c, "c", "cg").alias("r")
-    sizes = (F.col("l.n") >= F.col("r.n") * threshold - 1e-9) & (F.col("r.n") >= F.col("l.n") * threshold - 1e-9)
-    # A bit that only one sketch has stands for a gram that only that text has: an upper bound of what they share.
-    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.s{i}")))) for i in range(SKETCH)), F.lit(0))
-    most = F.least(F.col("l.n") - alone("l", "r"), F.col("r.n") - alone("r", "l"))
-    enough = most >= (F.col("l.n") + F.col("r.n")) * (threshold / (1 + threshold)) - 1e-9
-    pairs = left.join(right, (F.col("l.gram") == F.col("r.gram")) & sizes & enough).select("q", "c").distinct()
-    shared = F.size(F.array_intersect("qg", "cg"))
-    counted = pairs.join(q, "q").join(c, "c").withColumn("_shared", shared)
-    similarity = F.col("_shared") / (F.size("qg") + F.size("cg") - F.col("_shared"))
-    scored = counted.select("q", "c", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
-    rows = scored.join(queries.select("query_id", F.col("glued").alias("q")), "q").join(catalog.select("id", "created_date", F.col("glued").alias("c")), "c")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id")))
-    return rows.withColumn("cand_rank", rank).filter(F.col("cand_rank") <= limit).select("query_id", "id", "created_date", "cand_rank", "similarity")
+    return search(queries.select("query_id", "glued"), catalog.select("id", "glued", "created_date"), threshold, limit)
 
 
 def best_by_authors(candidates: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:

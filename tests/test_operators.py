@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia.operators import catalog as cat
-from scholia.operators import chunking, graph, references, resolve, style, vectors
+from scholia.operators import chunking, graph, references, resolve, style, trigrams, vectors
 from scholia.plans import pipelines
 
 
@@ -60,6 +60,44 @@ def test_trigram_join_against_brute_force(spark):
     assert resolve.trigram_candidates(spark.createDataFrame([("q", "words")], "query_id string, glued string"), word).first()["similarity"] == pytest.approx(4 / 7)
 
 
+def test_trigram_search_in_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "BLOCK", 16)
+    monkeypatch.setattr(trigrams, "HELD", 5)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdé𝒳") for _ in range(rng.choice((1, 2, 3, 8, 20, 70)))) for _ in range(60)] + ["aa" * 9, "Straße", ""]
+    cat_rows = [(i, rng.choice(texts), 5) for i in rng.sample(range(1000), 90)]
+    q_rows = [(f"q{i // 2 if i < 20 else i}", rng.choice(texts) if i % 2 else rng.choice(texts)[:9] + rng.choice(texts)[:30]) for i in range(70)]  # some ids twice
+    found = resolve.trigram_candidates(spark.createDataFrame(q_rows, "query_id string, glued string"), spark.createDataFrame(cat_rows, "id long, glued string, created_date int"), limit=4)
+    got = sorted((r["query_id"], r["cand_rank"], r["id"], r["similarity"]) for r in found.collect())
+    want = []
+    for k in {k for k, _ in q_rows}:
+        near = []
+        for t in (t for q, t in q_rows if q == k and t):
+            for i, u, _ in cat_rows:
+                a, b = py_trigrams(t), py_trigrams(u)
+                if u and len(a & b) / len(a | b) >= 0.3:
+                    near.append((-len(a & b) / len(a | b), i))
+        want += [(k, n + 1, i, -s) for n, (s, i) in enumerate(sorted(near)[:4])]
+    assert got == sorted(want) and len(want) > 100
+
+
+def test_trigram_search_shuffles_texts_not_pairs(spark):
+    rng = random.Random(7)
+    words = ["learning", "network", "quantum", "model", "robust", "graph", "theory", "deep"]
+    rows = [(i, "".join(rng.sample(words, 5)) + str(i), i) for i in range(1500)]
+    c = spark.createDataFrame(rows, "id long, glued string, created_date int")
+    q = spark.createDataFrame([(str(i), t[3:]) for i, t, _ in rows], "query_id string, glued string")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = shuffled()
+    assert resolve.trigram_candidates(q, c).count() > 70_000
+    assert shuffled() - before < 4 * 2 * sum(len(t) for _, t, _ in rows)
+
+
 def test_cascade(spark):
     catalog = spark.createDataFrame(
         [(1, "deeplearning", ["li wei"], "2001-01-01"), (2, "deeplearning", ["smith anna", "doe j"], "2002-01-01"), (3, "deeplearnings", ["kim bo"], "2003-01-01"), (4, "deeplearning", [], "2004-01-01")],
