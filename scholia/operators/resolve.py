@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.names import author_tokens, tokens_match
+from scholia.functions.text import once
 from scholia.operators.trigrams import search
 
 #: Candidates a query keeps, and the least trigram similarity.
@@ -38,6 +39,25 @@ def trigram_candidates(queries: DataFrame, catalog: DataFrame, threshold: float
     return search(queries.select("query_id", "glued"), catalog.select("id", "glued", "created_date"), threshold, limit)
 
 
+def _near_by_authors(queries: DataFrame, catalog: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """`best_by_authors` of `trigram_candidates`; authors are compared where candidates are found, so that only
+    candidates with a fitting author leave the search.
+
+    Two names fit (`tokens_match`) if they share a word, or one's single letter begins a word of the other. A name's
+    words, "^" with a beginning and "*" with a single letter make keys that fitting names, and only those, share.
+    """
+    words = lambda names: F.transform(F.coalesce(names, F.array().cast("array<string>")), author_tokens)
+    single = lambda t: F.filter(t, lambda w: F.length(w) == 1)
+    signed = lambda t, sign: F.transform(t, lambda w: F.concat(F.lit(sign), F.substring(w, 1, 1)))
+    keys = lambda t, begins, letters: F.transform(F.array_distinct(F.concat(t, signed(begins, "^"), signed(letters, "*"))), lambda k: F.xxhash64(k))
+    names = F.filter(F.array_distinct(words(F.col("authors"))), lambda t: F.size(t) > 0)
+    asked = F.transform(names, lambda t: keys(t, single(t), t))
+    held = once(F.flatten(words(F.col("authors"))), lambda t: keys(t, t, single(t)))
+    found = search(queries.select("query_id", "glued", asked.alias("asked")), catalog.select("id", "glued", "created_date", held.alias("keys")), threshold, limit)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("created_date"), F.asc("cand_rank"))
+    return found.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").select("query_id", "id", "score")
+
+
 def best_by_authors(candidates: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """A4: one candidate a query, by the number of distinct query authors it has, then date, then rank.
 
@@ -61,9 +81,8 @@ def resolve(queries: DataFrame, catalog: DataFrame, threshold: float = SIMILARIT
     """(query_id, id, score, stage). Exact candidates without a fitting author end the search (Q6)."""
     exact = exact_candidates(queries, catalog, limit)
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    near = trigram_candidates(rest, catalog, threshold, limit).drop("similarity")
     first = best_by_authors(exact, queries, catalog).withColumn("stage", F.lit("exact"))
-    return first.unionByName(best_by_authors(near, queries, catalog).withColumn("stage", F.lit("trigram")))
+    return first.unionByName(_near_by_authors(rest, catalog, threshold, limit).withColumn("stage", F.lit("trigram")))
 
 
 def lookup(ids: DataFrame, catalog: DataFrame, key: str = "arxiv_id") -> DataFrame:

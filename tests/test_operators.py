@@ -98,6 +98,17 @@ def test_trigram_search_shuffles_texts_not_pairs(spark):
     assert shuffled() - before < 4 * 2 * sum(len(t) for _, t, _ in rows)
 
 
+def test_authors_compared_in_the_search(spark):
+    rng = random.Random(11)
+    names = ["A. Smith", "smith anna", "Doe, J.", "j doe", "kim bo", "B Kim", "li", "", "{Li} Wei", "x", "Xu Á. Ł."]
+    some = lambda: rng.choice([None, *([rng.choice([*names, None]) for _ in range(n)] for n in (0, 1, 2, 3))])
+    c = spark.createDataFrame([(i, "deeplearning"[: rng.randint(6, 12)], some(), rng.choice([None, 1, 2])) for i in range(80)], "id long, glued string, authors array<string>, created_date int")
+    q = spark.createDataFrame([(f"q{i}", "deeplearningx"[: rng.randint(5, 13)], some()) for i in range(60)], "query_id string, glued string, authors array<string>")
+    want = resolve.best_by_authors(resolve.trigram_candidates(q, c, limit=30), q, c)
+    got = sorted(resolve._near_by_authors(q, c, 0.3, 30).collect())
+    assert got == sorted(want.collect()) and len(got) > 30
+
+
 def test_cascade(spark):
     catalog = spark.createDataFrame(
         [(1, "deeplearning", ["li wei"], "2001-01-01"), (2, "deeplearning", ["smith anna", "doe j"], "2002-01-01"), (3, "deeplearnings", ["kim bo"], "2003-01-01"), (4, "deeplearning", [], "2004-01-01")],
